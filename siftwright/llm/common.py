@@ -42,3 +42,22 @@ def text_or_empty(col: str = "text") -> Column:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of executors, which need not have it installed. Once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siftwright_shipped", False):
+        return
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    package = Path(__file__).resolve().parent.parent
+    if package.is_dir():
+        to = Path(tempfile.mkdtemp()) / "siftwright_workers.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for p in sorted(package.rglob("*.py")):
+                z.write(p, p.relative_to(package.parent))
+        sc.addPyFile(str(to))
+    sc._siftwright_shipped = True

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import mixing, quality
+from siftwright.llm import bitplanes, mixing, packing, quality
 from siftwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,19 @@ c AS (SELECT b.source, step AS cut, (need - before) / step_size::DOUBLE AS part
 SELECT doc_id, size, source_size, target, (repeats * size + CASE WHEN cut IS NULL OR step > cut THEN 0 WHEN step < cut THEN size ELSE floor(size * part) END)::BIGINT AS taken, repeats
 FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source LEFT JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
+
+
+def _byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op1_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.round_trip(table(spark, sf_dir, "documents"), _byte_bpe(), end_id=2)
+
+
+@query
+def op8_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _byte_bpe(), end_id=0, size=1024)
