@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import bitplanes, mixing, packing, quality
+from siftwright.llm import bitplanes, langid, mixing, packing, pii, quality
 from siftwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,20 @@ def op1_bit_plane_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_pack_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _byte_bpe(), end_id=0, size=1024)
+
+
+def fold(n: int) -> "F.Column":
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(fold(4) != 2))
+    return langid.predict(docs, model, "doc_id", (fold(4) == 2).alias("held_out"))
+
+
+@query
+def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
