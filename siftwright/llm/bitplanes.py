@@ -110,9 +110,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_bytes: int
             parts.clear()
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                for doc_id, ids in zip(some.column(0).to_pylist(), e.encode(some.column(1).to_pylist()), strict=True):
+            for lo in range(0, batch.num_rows, 2048):
+                some = batch.slice(lo, 2048)
+                for doc_id, ids in zip(some.column(0).to_pylist(), e.encode(some.column(1)), strict=True):
                     ids = np.append(ids, np.uint32(end_id))
                     at = 0
                     while at < len(ids):

@@ -249,8 +249,8 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFram
 
         e = encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 2048):
+                some = batch.slice(lo, 2048)
                 counts, crcs = [], []
                 for ids in e.encode(some.column(1)):
                     data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()

@@ -11,12 +11,14 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Marks that follow words; by the splitting pattern none of them ever joins the letters before it.
+MARKS = ",.;:!?"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are cut into pieces at a time.
 AT_A_TIME = 8_000_000
@@ -38,45 +40,46 @@ class PieceEncoder:
 
         self.tokenizer, self.limit, self.characters = Tokenizer.from_file(path), limit, _byte_characters()
         self.tokenizer.model._resize_cache(0)  # every piece comes once
+        self.marks = {m: self.tokenizer.token_to_id(m) for m in MARKS}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.words: dict[str, list[int]] = {}
         self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint32)
         self.used = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a space and the word. A word of Latin letters is a single unit of the splitting pattern, so the model takes it at once."""
-        if word.isalpha() and max(word) < "ɐ":
-            return [t.id for t in self.tokenizer.model.tokenize(f" {word}".encode().decode("latin-1").translate(self.characters))]
-        return self.tokenizer.encode(f" {word}", add_special_tokens=False).ids
-
     def _piece(self, piece: str) -> list[int] | None:
-        """A piece stands for itself if it starts with a line feed, else for itself after a space. None: its ends aren't safe to cut at."""
+        """A piece stands for itself if it starts with a line feed, else for itself after a space. None: its ends aren't safe to cut at.
+
+        A word of Latin letters is a single unit of the splitting pattern, so the model takes it at once."""
+        if piece.isalpha() and max(piece) < "ɐ":
+            return [t.id for t in self.tokenizer.model.tokenize(f" {piece}".encode().decode("latin-1").translate(self.characters))]
         rest = piece[1:] if piece[:1] == "\n" else piece
         if not rest or rest[0].isspace() or rest[-1].isspace():
             return None
-        if piece[0] == "\n":
-            return self.tokenizer.encode(piece, add_special_tokens=False).ids
-        word, mark = (piece[:-1], piece[-1]) if piece[-1] in ",.;:!?" and piece[:-1].isalpha() else (piece, "")
-        if (ids := self.words.get(word)) is None:
-            ids = self.words[word] = self._word(word)
-        return [*ids, self.tokenizer.token_to_id(mark)] if mark else ids
+        if piece[-1] in MARKS and piece[:-1].isalpha() and (known := self.known.get(piece[:-1])) is not None:
+            return [*self.ids[self.starts[known] : self.starts[known] + self.lengths[known]].tolist(), self.marks[piece[-1]]]
+        return self.tokenizer.encode(piece if piece[0] == "\n" else f" {piece}", add_special_tokens=False).ids
 
     def _learn(self, pieces: list[str]) -> None:
-        found = [self._piece(p) for p in pieces]
+        if words := {p[:-1] for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()}.difference(self.known, pieces):
+            self._learn(list(words))
+        # words first: those with a mark after them need them
+        for some in ([p for p in pieces if p[-1:] not in self.marks], [p for p in pieces if p[-1:] in self.marks]):
+            self._store(some, [self._piece(p) for p in some])
+
+    def _store(self, pieces: list[str], found: list[list[int] | None]) -> None:
         at, n = len(self.known), len(pieces)
         if at + n > len(self.starts):
-            grow = max(at + n, 2 * len(self.starts))
+            grow = max(at + n, 3 * len(self.starts) // 2)
             self.starts, self.lengths = np.resize(self.starts, grow), np.resize(self.lengths, grow)
         lengths = np.fromiter((0 if f is None else len(f) for f in found), np.int64, n)
         total = int(lengths.sum())
         if self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, max(self.used + total, 2 * len(self.ids)))
+            self.ids = np.resize(self.ids, max(self.used + total, 3 * len(self.ids) // 2))
         self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(f or () for f in found), np.uint32, total)
         self.lengths[at : at + n] = np.where([f is None for f in found], -1, lengths)
         self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
@@ -84,11 +87,14 @@ class PieceEncoder:
         self.known.update(zip(pieces, range(at, at + n), strict=True))
 
     def _look_up(self, pieces: list[str]) -> np.ndarray:
+        """pieces: each once, or known."""
         if len(self.known) > self.limit:
             self._forget()
-        if new := [p for p in pieces if p not in self.known]:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        if len(new := np.flatnonzero(index < 0)):
+            self._learn(list({pieces[i]: None for i in new.tolist()}))
+            index[new] = np.fromiter((self.known[pieces[i]] for i in new.tolist()), np.int64, len(new))
+        return index
 
     def _gather(self, index: np.ndarray) -> np.ndarray:
         n = self.lengths[index]
@@ -117,7 +123,7 @@ class PieceEncoder:
         cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         counts = np.diff(cut.offsets.to_numpy())
         pieces = cut.flatten().dictionary_encode()
-        index = self._look_up(pieces.dictionary.to_pylist())[pieces.indices.to_numpy()]
+        index = self._look_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
         odd = np.minimum.reduceat(self.lengths[index], np.cumsum(counts) - counts) < 0
         index = index[np.repeat(~odd, counts)] if odd.any() else index
         ids = self._gather(index)
