@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import WORD, stored
+from siftwright.llm.common import WORD, WS, stored
 
 BUCKETS = 1024
 WEIGHTS = (5, 2, 1)
@@ -50,12 +50,14 @@ def bucket(seed: int) -> Column:
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % BUCKETS).cast("int")
 
 
-def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats (whole), taken (words, repeats counted) for each row of docs."""
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = stored(docs.select("doc_id", "source", size.alias("size"), bucket(seed).alias("_step")))
-    steps = rows.groupBy("source", "_step").agg(F.sum("size").alias("step_size"))
-    steps = stored(steps)
+    return docs.withColumn("_size", size).withColumn("_step", bucket(seed))
+
+
+def _plan(rows: DataFrame, share: float, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
+    """For each source: source_size, target, repeats, and the step and part of it at which its fractional share ends. rows: source, _size, _step."""
+    steps = stored(rows.groupBy("source", "_step").agg(F.sum("_size").alias("step_size")))
     sources = steps.groupBy("source").agg(F.sum("step_size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
@@ -64,13 +66,37 @@ def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     filled = water_fill(sources, budget, max_epochs, ["source"])
     filled = filled.withColumn("_epochs", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))).otherwise(0.0))
     filled = filled.withColumn("repeats", F.floor("_epochs").cast("long")).withColumn("_need", (F.col("_epochs") - F.floor("_epochs")) * F.col("source_size"))
-    # the step where the fractional share is reached, and the part of that step
     w = Window.partitionBy("source").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     cut = steps.withColumn("_before", F.coalesce(F.sum("step_size").over(w), F.lit(0))).alias("s").join(filled.alias("f"), F.expr("s.source <=> f.source"))
     part = (F.col("_need") - F.col("_before")) / F.col("step_size")
     cut = cut.filter((F.col("step_size") > 0) & (part >= 0) & (part < 1)).select(F.col("f.source").alias("source"), F.col("_step").alias("_cut"), part.alias("_part"))
-    plan = stored(filled.alias("f").join(cut.alias("c"), F.expr("f.source <=> c.source"), "left").select("f.source", "source_size", "target", "repeats", "_cut", "_part"))
+    return stored(filled.alias("f").join(cut.alias("c"), F.expr("f.source <=> c.source"), "left").select(F.col("f.source").alias("_source"), "source_size", "target", "repeats", "_cut", "_part"))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows with their source's plan and _extra, the words of one more, fractional repetition."""
     small = plan.count() <= BROADCAST_SOURCES
-    joined = rows.alias("d").join((F.broadcast(plan) if small else plan).alias("p"), F.expr("d.source <=> p.source"), "left")
-    extra = F.when(F.col("_cut").isNull() | (F.col("_step") > F.col("_cut")), F.lit(0)).when(F.col("_step") < F.col("_cut"), F.col("size")).otherwise(F.floor(F.col("size") * F.col("_part")))
-    return joined.select("doc_id", "d.source", "size", "source_size", "target", "repeats", (F.col("repeats") * F.col("size") + extra).cast("long").alias("taken"))
+    extra = F.when(F.col("_cut").isNull() | (F.col("_step") > F.col("_cut")), F.lit(0)).when(F.col("_step") < F.col("_cut"), F.col("_size")).otherwise(F.floor(F.col("_size") * F.col("_part")))
+    return rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_extra", extra.cast("long"))
+
+
+def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats (whole), taken (words, repeats counted) for each row of docs."""
+    rows = stored(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
+    joined = _with_plan(rows, _plan(rows, share, max_epochs, weights))
+    return joined.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "repeats", (F.col("repeats") * F.col("_size") + F.col("_extra")).alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each whole repetition, and one with the first words for a fractional one.
+
+    Documents without words come once if their source is taken at all."""
+    rows = _sized(docs, seed)
+    joined = _with_plan(rows, _plan(rows.select("source", "_size", "_step"), share, max_epochs, weights))
+    whole = (F.col("repeats") + F.when((F.col("_extra") == F.col("_size")) & ((F.col("_size") > 0) | (F.col("repeats") == 0)), 1).otherwise(0)).cast("int")
+    part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.col("_extra"))
+    takes = F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn("_words", F.explode(takes))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{WS}]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
+    out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(first))
+    return out.select(*docs.columns)
