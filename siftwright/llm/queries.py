@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwright.llm import ann, bitplanes, langid, lm, mixing, neardup, packing, pii, quality
+from siftwright.llm import ann, bitplanes, langid, lm, mixing, neardup, packing, pii, quality, substrings
 from siftwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op2_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_log_bilinear_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), fold(5) == 1)
+
+
+@query
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(table(spark, sf_dir, "documents")).drop("kept")
