@@ -29,6 +29,8 @@ from siftwright.llm import graph, words
 from siftwright.llm.common import ship, stored, text_or_empty
 
 BLOCK = 128
+#: Up to this many candidate documents are broadcast to find their texts.
+BROADCAST_CANDIDATES = 500_000
 
 
 def bands_and_rows(threshold: float, recall: float, most_hashes: int = 256) -> tuple[int, int]:
@@ -133,6 +135,8 @@ def verified(docs: DataFrame, groups: DataFrame, n: int, threshold: tuple[int, i
                 sets = [s.tobytes() for s in _sets(b.column(0), n)]
                 yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sets, pa.binary())], schema=sets_schema)
 
+    # a candidate is some 100 bytes; beyond the bound, texts are shuffled to them
+    placed = F.broadcast(placed) if groups.count() <= BROADCAST_CANDIDATES else placed
     found = texts.join(placed, texts["doc_id"] == placed["rep"]).select("text", "rep", "print", "copies", "label", "blocks", "block")
     sets = found.mapInArrow(to_sets, "rep long, print binary, copies long, label long, blocks int, block int, grams binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
