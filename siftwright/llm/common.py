@@ -44,9 +44,16 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of an Arrow batch at most: texts are long, and a batch is held several times on its way.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers of executors, which need not have it installed. Once for each context."""
+    """Sends this package to the Python workers of executors, which need not have it installed, once for each context; and bounds Arrow batches."""
     sc = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     if getattr(sc, "_siftwright_shipped", False):
         return
     import tempfile

@@ -29,7 +29,7 @@ UNKNOWN = "und"
 ORDERS = (2, 3, 4)
 HASHES = 2
 SPACE = 0x20
-AT_A_TIME = 1_000_000
+AT_A_TIME = 500_000
 
 
 @lru_cache(maxsize=1)

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 MARKS = ",.;:!?"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are cut into pieces at a time.
-AT_A_TIME = 8_000_000
+AT_A_TIME = 4_000_000
 
 
 def _byte_characters() -> dict[int, str]:
@@ -34,7 +34,7 @@ def _byte_characters() -> dict[int, str]:
 class PieceEncoder:
     """limit: pieces remembered at most (about 200 bytes each); beyond it, memory is emptied and filled anew."""
 
-    def __init__(self, path: str, limit: int = 1_000_000) -> None:
+    def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -7,33 +7,31 @@ each word, and each window of words, costs the same few operations whatever its
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
-AT_A_TIME = 2_000_000
+AT_A_TIME = 500_000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2^64, for i below size."""
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        p = np.full(size, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _size(n: int) -> int:
-    return 1 << max(12, int(n).bit_length())
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** i and its inverse modulo 2^64, for i below size at least. One table for each base is kept, as large as the longest text needed."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.full(1 << max(12, int(size).bit_length()), b, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p, out=p))
+        _POWERS[base] = (out[0], out[1])
+    return _POWERS[base]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -44,7 +42,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
     """Polynomial of values[start:end] for each range."""
-    up, down = _powers(base, _size(len(values)))
+    up, down = _powers(base, len(values) + 1)
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[: len(values)], out=sums[1:])
     return (sums[ends] - sums[starts]) * down[starts]
@@ -88,7 +86,7 @@ def of_ranges(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of some 2 MB of text."""
+    """The batch in slices of some 500 kB of text."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
