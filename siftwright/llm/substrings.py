@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from siftwright.llm import words
 from siftwright.llm.common import ship, stored, text_or_empty
 
-SPAN, GRAM, SHARD = 20, 5, 256
+SPAN, GRAM, SHARD = 20, 5, 2048
 
 
 class SuffixAutomaton:

@@ -262,7 +262,7 @@ def test_components_of_a_path(spark):
 # ---- repeated passages
 
 
-@pytest.mark.parametrize("shard", [256, 0])
+@pytest.mark.parametrize("shard", [2048, 0])
 def test_removed_words(spark, monkeypatch, shard):
     monkeypatch.setattr(substrings, "SHARD", shard)
     texts = texts_with_copies()
