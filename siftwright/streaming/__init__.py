@@ -1 +1 @@
-""""""
+"""Left for operators over streams; none of the present ones keeps state over time."""
