@@ -221,13 +221,16 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         if h in head:
             class_n[t] -= n
             class_v[t] -= 1
-    triples = count_triples(training, outputs).toPandas() if n_all else None
-    if triples is None:
+    if n_all:
+        counted_triples = count_triples(training, outputs).toArrow()
+        triples, times = (counted_triples.column(i).to_numpy() for i in (0, 1))
+        del counted_triples
+        order = np.argsort(triples)
+        table = train(triples[order], times[order].astype(np.float64), outputs.size)
+        del triples, times, order
+    else:
         table = np.full((outputs.size**2, outputs.size), -300.0, np.float32)
         table[:, 0] = 0.0
-    else:
-        triples = triples.sort_values("triple")
-        table = train(triples["triple"].to_numpy(np.int64), triples["n"].to_numpy(np.float64), outputs.size)
     log_class = np.log10(class_n + 0.5 * (class_v + 1))
     log_all = float(np.log10(n_all + 0.5 * (v_all + 1)))
     shared = spark.sparkContext.broadcast((outputs, table))
