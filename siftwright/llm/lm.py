@@ -1,12 +1,15 @@
 """Scoring texts with a log-bilinear language model trained by noise-contrastive estimation.
 
-Tokens are words, with A to Z in lower case, and an end after each text. The model's outputs are the ``HEAD`` most frequent tokens and
-``TAIL`` classes, by last byte, of all others; a rare word's probability is that of its class times its smoothed share of the class.
-The two tokens before give the predicted vector, the sum of their vectors scaled by position; its product with an output's vector,
-plus a bias, is the output's score. Training contrasts outputs with noise drawn from their frequencies. It runs on the counts of all
-consecutive triples of outputs in the training texts, which all data enter and whose size is bounded. There are as few contexts, so
-one batched matrix product gives the normalised log-probabilities of every output after every context, and scoring a text looks them
-up.
+Tokens are words, with A to Z in lower case, and an end after each text. The vocabulary is every token counted ``LEAST`` times or
+more, so it grows with the corpus, and the ``HEAD`` most frequent in any case. Each of its words has a vector as context and one as
+output. The two tokens before give the predicted vector, the sum of their vectors scaled by position; its product with an output's
+vector, plus a bias, is the output's score. Probabilities are normalised in two steps: over the ``HEAD`` most frequent tokens, classes
+of the other words of the vocabulary by frequency (about the square root of their number) and ``TAIL`` classes, by last byte, of all
+rarer words; then over the words of the class. A rarer word's probability is that of its class times its smoothed share of the class.
+
+Training contrasts outputs, and words among words, with noise drawn from their frequencies. Vectors start from a model of classes,
+fitted on the triples of ``PILOT`` texts. Then every training text is read: in each of ``ROUNDS`` rounds, tasks train on their share of
+the texts, and the changes of each vector are averaged over the tasks, weighted by how often they touched it.
 
 Counts of words are exact for the whole corpus and live in a table keyed by 64-bit hashes. The ``KNOWN`` most frequent travel with the
 scoring task; the others are joined.
@@ -32,6 +35,12 @@ HEAD, TAIL, KNOWN = 128, 32, 100_000
 #: The end's hash.
 END = np.uint64(1)
 DIM = 32
+#: Least count of a word with vectors of its own; texts of the pilot; shares of the texts between averages.
+LEAST, PILOT, ROUNDS = 100, 2_000, 2
+#: Tokens that a task holds and shuffles; tokens of a step; a small corpus is repeated until about so many tokens are seen, AT_MOST times.
+CHUNK, BATCH, ENOUGH, AT_MOST = 131_072, 2_048, 10_000_000, 12
+#: Rows of parameters that travel together.
+BLOCK = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -91,23 +100,38 @@ def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 @dataclass
 class Outputs:
-    """Which output a token is. head: hashes in order of output number; known: hashes (sorted) and counts of the most frequent."""
+    """Which output a token is. vocabulary: hashes by falling count, the first ``heads`` of them outputs of their own; known: hashes (sorted) and counts of the most frequent."""
 
-    head: np.ndarray
+    vocabulary: np.ndarray
+    heads: int
     known: np.ndarray
     counts: np.ndarray
 
     def __post_init__(self) -> None:
-        self.order = np.argsort(self.head)
-        self.ordered = self.head[self.order]
+        self.order = np.argsort(self.vocabulary)
+        self.ordered = self.vocabulary[self.order]
+        words = len(self.vocabulary) - self.heads
+        n = int(np.ceil(words**0.5))
+        # frequent words are in small classes
+        self.edges = np.unique(np.ceil(words * (np.arange(n + 1) / max(n, 1)) ** 2).astype(np.int64)) if words else np.zeros(1, np.int64)
+
+    @property
+    def classes(self) -> int:
+        return len(self.edges) - 1
 
     @property
     def size(self) -> int:
-        return len(self.head) + TAIL
+        return self.heads + self.classes + TAIL
 
-    def of(self, tokens: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    def place(self, tokens: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """Rank in the vocabulary; for rarer words the size of the vocabulary and the tail class."""
         at = np.minimum(np.searchsorted(self.ordered, tokens), len(self.ordered) - 1)
-        return np.where(self.ordered[at] == tokens, self.order[at], len(self.head) + tails).astype(np.int64)
+        return np.where(self.ordered[at] == tokens, self.order[at], len(self.vocabulary) + tails.astype(np.int64))
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        n = len(self.vocabulary)
+        inner = self.heads + np.searchsorted(self.edges, places - self.heads, "right") - 1
+        return np.where(places < self.heads, places, np.where(places < n, inner, self.heads + self.classes + places - n))
 
     def count(self, tokens: np.ndarray) -> np.ndarray:
         """Of known tokens; -1 for others."""
@@ -118,7 +142,7 @@ class Outputs:
 
 
 def _contexts(outputs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The outputs two and one before each; the end (output 0) stands before a text."""
+    """What stands two and one before each; the end (0) stands before a text."""
     one, two = np.zeros_like(outputs), np.zeros_like(outputs)
     one[1:], two[2:] = outputs[:-1], outputs[:-2]
     first = np.cumsum(sizes) - sizes
@@ -133,25 +157,29 @@ def count_triples(docs: DataFrame, outputs: Outputs) -> DataFrame:
     schema = pa.schema([("triple", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k**3, np.int32)
         for batch in batches:
             for b in words.in_parts(batch, 0):
                 tokens, tails, sizes = _tokens(b.column(0))
                 if len(tokens):
-                    o = outputs.of(tokens, tails)
+                    o = outputs.of(outputs.place(tokens, tails))
                     two, one = _contexts(o, sizes)
-                    np.add.at(total, (two * k + one) * k + o, 1)
-        found = np.flatnonzero(total)
-        for lo in range(0, len(found), 100_000):
-            some = found[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], schema=schema)
+                    found, n = np.unique((two * k + one) * k + o, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], schema=schema)
 
     ship(docs.sparkSession)
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "triple long, n long").groupBy("triple").agg(F.sum("n").alias("n"))
 
 
-def train(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500, batch: int = 4096, noise: int = 64, rate: float = 0.02, seed: int = 3) -> np.ndarray:
-    """log10 probabilities [context, output], context = two * k + one, each row normalised."""
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of the values of each, and how many there are."""
+    order = np.argsort(rows)
+    r = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    return r[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(r)))
+
+
+def fit(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500, batch: int = 4096, noise: int = 64, rate: float = 0.02, seed: int = 3) -> dict[str, np.ndarray]:
+    """Vectors (one, out), scales and biases of a model of k outputs, from counts of triples."""
     rng = np.random.default_rng(seed)
     unigram = np.bincount(triples % k, counts, k) + 0.5
     unigram = unigram / unigram.sum()
@@ -163,9 +191,10 @@ def train(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500, ba
     noise_upto = np.cumsum(unigram)
 
     def scatter(index: np.ndarray, grad: np.ndarray) -> np.ndarray:
-        hot = np.zeros((k, len(index)), np.float32)
-        hot[index, np.arange(len(index))] = 1
-        return hot @ grad
+        out = np.zeros((k, grad.shape[1]), np.float32)
+        rows, total, _ = _sums(index, grad)
+        out[rows] = total
+        return out
 
     for t in range(1, steps + 1 if len(counts) else 1):
         x = triples[np.minimum(np.searchsorted(upto, rng.random(batch)), len(triples) - 1)]
@@ -193,6 +222,12 @@ def train(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500, ba
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
             p[n] -= (step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+    return p
+
+
+def train(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500) -> np.ndarray:
+    """log10 probabilities [context, output] of fit, context = two * k + one, each row normalised."""
+    p = fit(triples, counts, k, steps)
     table = np.empty((k * k, k), np.float32)
     for two in range(k):
         scores = (p["scale_one"] * p["one"] + p["scale_two"] * p["one"][two]) @ p["out"].T + p["bias"]
@@ -202,6 +237,173 @@ def train(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500, ba
     return table
 
 
+@dataclass
+class Model:
+    """values: a row for each of two scales, then for each context (the vocabulary, the tail classes), each output, and each word of a class; biases last."""
+
+    outputs: Outputs
+    values: np.ndarray
+    unigram: np.ndarray
+
+    def __post_init__(self) -> None:
+        o = self.outputs
+        self.first_output = 2 + len(o.vocabulary) + TAIL
+        self.first_word = self.first_output + o.size
+        self.n_words = len(o.vocabulary) - o.heads
+
+    def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        x = self.values[0] * self.values[2 + one] + self.values[1] * self.values[2 + two]
+        x[:, -1] = 1
+        return x
+
+    def learn(self, triples: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], repeat: int, rng: np.random.Generator, noise: int = 32, rate: float = 0.05) -> np.ndarray:
+        """Changes values by every triple of places (two, one, own); how often each row was touched."""
+        v, o = self.values, self.outputs
+        power, hits = np.full(len(v), 0.1, np.float32), np.zeros(len(v), np.int64)
+        shares = [self.unigram[: o.size], self.unigram[o.size :]]
+        upto = [np.cumsum(x / x.sum()) for x in shares if len(x)]
+        shift = np.concatenate([np.log(noise * x / x.sum()) for x in shares if len(x)]).astype(np.float32)
+
+        def contrast(x: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            start = kind * o.size
+            bad = start + np.minimum(np.searchsorted(upto[kind], rng.random(noise)), len(upto[kind]) - 1)
+            out, out_bad = v[self.first_output + target], v[self.first_output + bad]
+            true = np.einsum("ij,ij->i", x, out) - shift[target]
+            false = x @ out_bad.T - shift[bad]
+            g = -1 / (1 + np.exp(np.clip(true, -30, 30)))
+            gf = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
+            return g[:, None] * out + gf @ out_bad, np.concatenate([target, bad]), np.concatenate([g[:, None] * x, gf.T @ x])
+
+        for two, one, own in triples:
+            top = o.of(own)
+            for _ in range(repeat):
+                order = rng.permutation(len(own))
+                for lo in range(0, len(order), BATCH):
+                    i = order[lo : lo + BATCH]
+                    r1, r2 = v[2 + one[i]], v[2 + two[i]]
+                    x = v[0] * r1 + v[1] * r2
+                    x[:, -1] = 1
+                    gp, rows, grads = contrast(x, top[i], 0)
+                    inner = np.flatnonzero((own[i] >= o.heads) & (own[i] < len(o.vocabulary)))
+                    if len(inner):
+                        more, r, g = contrast(x[inner], o.size + own[i][inner] - o.heads, 1)
+                        gp[inner] += more
+                        rows, grads = np.concatenate([rows, r]), np.concatenate([grads, g])
+                    gp[:, -1] = 0
+                    at = np.concatenate([[0, 1], 2 + one[i], 2 + two[i], self.first_output + rows])
+                    all_grads = np.concatenate([[(gp * r1).sum(axis=0), (gp * r2).sum(axis=0)], gp * v[0], gp * v[1], grads])
+                    at, total, n = _sums(at, all_grads)
+                    power[at] += (total * total).mean(axis=1)
+                    v[at] -= (rate / np.sqrt(power[at]))[:, None] * total
+                    hits[at] += n
+        return hits
+
+    def log10(self, two: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each own token after two and one (places); for rarer words, of their class."""
+        o, v, out = self.outputs, self.values, np.empty(len(own))
+        top, x = o.of(own), self.predicted(two, one)
+
+        def within(x: np.ndarray, vectors: np.ndarray, target: np.ndarray) -> np.ndarray:
+            s = x @ vectors.T
+            if float((x * x).sum(axis=1).max() * (vectors * vectors).sum(axis=1).max()) > 60.0**2:  # else exp stays in range
+                s -= s.max(axis=1, keepdims=True)
+            mine = s[np.arange(len(target)), target].astype(np.float64)
+            return (mine - np.log(np.exp(s, out=s).sum(axis=1))) / np.log(10)
+
+        for lo in range(0, len(own), 1024):
+            out[lo : lo + 1024] = within(x[lo : lo + 1024], v[self.first_output : self.first_word], top[lo : lo + 1024])
+        inner = np.flatnonzero((own >= o.heads) & (own < len(o.vocabulary)))
+        inner = inner[np.argsort(top[inner], kind="stable")]
+        cuts = np.searchsorted(top[inner], o.heads + np.arange(o.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            begin, end = o.edges[c], o.edges[c + 1]
+            for lo in range(cuts[c], cuts[c + 1], 1024):
+                i = inner[lo : min(lo + 1024, cuts[c + 1])]
+                out[i] += within(x[i], v[self.first_word + begin : self.first_word + end], own[i] - o.heads - begin)
+        return out
+
+
+def start(pilot: dict[str, np.ndarray], outputs: Outputs, counts: np.ndarray, tail_counts: np.ndarray, seed: int = 4) -> Model:
+    """Words begin with the context vectors of their outputs; words of classes as outputs with their share alone."""
+    rng = np.random.default_rng(seed)
+    places = np.arange(len(outputs.vocabulary) + TAIL)
+    top = outputs.of(places)
+    of_words = counts[outputs.heads :] + 0.5
+    of_outputs = np.bincount(top, np.concatenate([counts, tail_counts]), outputs.size) + 0.5
+    m = Model(outputs, np.zeros((2 + len(places) + outputs.size + len(of_words), DIM + 1), np.float32), np.concatenate([of_outputs, of_words]))
+    m.values[0, :DIM], m.values[1, :DIM] = pilot["scale_one"], pilot["scale_two"]
+    m.values[2 : m.first_output, :DIM] = pilot["one"][top] + rng.normal(0, 0.05, (len(places), DIM))
+    m.values[m.first_output : m.first_word, :DIM] = pilot["out"]
+    m.values[m.first_output : m.first_word, -1] = pilot["bias"]
+    if len(of_words):
+        m.values[m.first_word :, -1] = np.log(of_words / of_words.sum())
+    return m
+
+
+def improve(model: Model, docs: DataFrame, repeat: int) -> None:
+    """One round: tasks learn from all rows of docs, beginning with the model; it takes the weighted mean of their changes."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(model)
+    width = DIM + 1
+    schema = pa.schema([("block", pa.int64()), ("n", pa.binary()), ("change", pa.binary())])
+
+    def row(block: int, n: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
+        """Of a block, how often each row was touched, and the mean changes of those that were: half precision is 0.05 % of a change."""
+        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n.astype(np.int64).tobytes()]), pa.array([change[n > 0].astype(np.float16).tobytes()])], schema=schema)
+
+    def full(n: bytes, change: bytes) -> tuple[np.ndarray, np.ndarray]:
+        times = np.frombuffer(n, np.int64)
+        out = np.zeros((len(times), width))
+        out[times > 0] = np.frombuffer(change, np.float16).reshape(-1, width)
+        return times, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        begin = shared.value
+        o, own = begin.outputs, Model(begin.outputs, begin.values.copy(), begin.unigram)
+
+        def triples() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            held, size = [], 0
+            for batch in batches:
+                for b in words.in_parts(batch, 0):
+                    tokens, tails, sizes = _tokens(b.column(0))
+                    places = o.place(tokens, tails)
+                    held.append((*_contexts(places, sizes), places))
+                    size += len(places)
+                    if size >= CHUNK:
+                        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                        held, size = [], 0
+            if size:
+                yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+        hits = own.learn(triples(), repeat, np.random.default_rng(TaskContext.get().partitionId()))
+        change = own.values - begin.values
+        for block in range(0, len(hits), BLOCK):
+            if hits[block : block + BLOCK].any():
+                yield row(block, hits[block : block + BLOCK], change[block : block + BLOCK])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, change = None, np.zeros(0), np.zeros(0)
+        for b in batches:
+            for block, some, more in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+                if block != key:
+                    if key is not None:
+                        yield row(key, n, change / np.maximum(n, 1)[:, None])
+                    key, n, change = block, 0, 0.0
+                times, moves = full(some.as_py(), more.as_py())
+                n, change = n + times, change + moves * times[:, None]
+        if key is not None:
+            yield row(key, n, change / np.maximum(n, 1)[:, None])
+
+    kind = "block long, n binary, change binary"
+    moved = docs.select(text_or_empty().alias("text")).mapInArrow(run, kind)
+    for b in moved.repartition("block").sortWithinPartitions("block").mapInArrow(add, kind).toArrow().to_batches():
+        for block, n, change in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
+            model.values[block : block + BLOCK] += full(n.as_py(), change.as_py())[1].astype(np.float32)
+    shared.destroy()
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text); learns from rows that aren't held out."""
     spark = docs.sparkSession
@@ -210,49 +412,59 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     sums = counted.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"]
     top = counted.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
-    hashes, counts, tails = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), top["tail"].to_numpy(np.int64)
-    head = np.concatenate([[END], hashes[hashes != END][: HEAD - 1]]).astype(np.uint64)
+    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    # the end first, then words by count: all of LEAST and more, HEAD - 1 at least
+    end = F.col("h") == int(END)
+    own = counted.filter(~end & (F.col("n") >= LEAST)).toPandas()
+    if len(own) < HEAD - 1:
+        own = top[top["h"] != int(END)][: HEAD - 1]
+    own = own.sort_values(["n", "h"], ascending=[False, True])
+    ends = counted.filter(end).agg(F.sum("n")).first()[0] or 0
+    vocabulary = np.concatenate([[END], own["h"].to_numpy(np.int64).view(np.uint64)]).astype(np.uint64)
+    own_counts, own_tails = (np.concatenate([[x], own[c].to_numpy(np.int64)]).astype(np.int64) for x, c in ((ends, "n"), (0, "tail")))
+    if len(vocabulary) > len(hashes):
+        hashes, counts = vocabulary, own_counts
     order = np.argsort(hashes)
-    outputs = Outputs(head, hashes[order], counts[order])
-    # size and number of words of each tail class, head words not among them
+    outputs = Outputs(vocabulary, min(HEAD, len(vocabulary)), hashes[order], counts[order])
+    # size and number of words of each tail class, words of the vocabulary not among them
     by_tail = {r["tail"]: (r["n"], r["v"]) for r in counted.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     class_n, class_v = (np.array([by_tail.get(i, (0, 0))[j] for i in range(TAIL)], np.int64) for j in (0, 1))
-    for h, n, t in zip(hashes, counts, tails, strict=True):
-        if h in head:
-            class_n[t] -= n
-            class_v[t] -= 1
+    class_n -= np.bincount(own_tails, own_counts, TAIL).astype(np.int64)
+    class_v -= np.bincount(own_tails, own_counts > 0, TAIL).astype(np.int64)
     if n_all:
-        counted_triples = count_triples(training, outputs).toArrow()
+        some = training.select("text", F.xxhash64("doc_id").alias("at")).orderBy("at").limit(PILOT)
+        counted_triples = count_triples(some, outputs).toArrow()
         triples, times = (counted_triples.column(i).to_numpy() for i in (0, 1))
-        del counted_triples
         order = np.argsort(triples)
-        table = train(triples[order], times[order].astype(np.float64), outputs.size)
-        del triples, times, order
+        model = start(fit(triples[order], times[order].astype(np.float64), outputs.size), outputs, own_counts, class_n)
+        del counted_triples, triples, times, order
+        for r in range(ROUNDS):
+            improve(model, training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), max(1, min(AT_MOST, ENOUGH // n_all)))
     else:
-        table = np.full((outputs.size**2, outputs.size), -300.0, np.float32)
-        table[:, 0] = 0.0
+        model = None
     log_class = np.log10(class_n + 0.5 * (class_v + 1))
     log_all = float(np.log10(n_all + 0.5 * (v_all + 1)))
-    shared = spark.sparkContext.broadcast((outputs, table))
+    shared = spark.sparkContext.broadcast((outputs, model))
 
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        outputs, table = shared.value
-        k, rid = outputs.size, TaskContext.get().partitionId() << 40
+        outputs, learned = shared.value
+        rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in words.in_parts(batch, 2):
                 tokens, tails, sizes = _tokens(b.column(2))
-                o = outputs.of(tokens, tails)
+                o = outputs.place(tokens, tails)
                 two, one = _contexts(o, sizes)
                 c = outputs.count(tokens)
                 rare = c < 0
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 own = np.where(rare, 0.0, np.log10(np.maximum(c, 0) + 0.5))
-                of_class = o >= len(outputs.head)
-                model = table[two * k + one, o] + np.where(of_class, own - log_class[np.where(of_class, o - len(outputs.head), 0)], 0.0)
+                of_class = o >= len(outputs.vocabulary)
+                model = learned.log10(two, one, o) if learned else np.where(o == 0, 0.0, -300.0)
+                model = model + np.where(of_class, own - log_class[np.where(of_class, o - len(outputs.vocabulary), 0)], 0.0)
                 ends = np.concatenate([[0], np.cumsum(np.bincount(doc[rare], minlength=len(sizes)))])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens[rare].view(np.int64)))
                 add = lambda x: pa.array(np.bincount(doc, x, len(sizes)))

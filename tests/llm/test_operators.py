@@ -341,6 +341,26 @@ def test_scores(spark):
     assert lm.score(frame(spark, []), held).count() == 0
 
 
+def test_scores_tell_apart_infrequent_words_of_one_last_byte(spark):
+    rng = np.random.default_rng(1)
+    pairs = [f"a{i}x b{i}x" for i in range(200)]
+    texts = [" ".join(pairs[i] for i in rng.permutation(200)) for _ in range(150)]
+    right = [" ".join(pairs[i] for i in rng.permutation(200)[:50]) for _ in range(5)]
+    wrong = [" ".join(f"a{i}x b{(i + 7) % 200}x" for i in rng.permutation(200)[:50]) for _ in range(5)]
+    df = frame(spark, texts + right + wrong)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, F.col("doc_id") >= 150).collect()}
+    assert min(got[i] for i in range(150, 155)) > max(got[i] for i in range(155, 160)) + 20
+
+
+def test_words_of_the_vocabulary_have_probabilities_that_sum_to_one():
+    rng = np.random.default_rng(0)
+    outputs = lm.Outputs(np.arange(1, 41, dtype=np.uint64), 10, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    values = rng.normal(0, 1, (2 + 40 + lm.TAIL + outputs.size + 30, lm.DIM + 1)).astype(np.float32)
+    own = np.arange(40 + lm.TAIL)
+    p = 10.0 ** lm.Model(outputs, values, np.ones(outputs.size + 30)).log10(np.full_like(own, 3), np.full_like(own, 20), own)
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+
+
 def test_log_probabilities_are_normalised():
     rng = np.random.default_rng(0)
     k = 6
