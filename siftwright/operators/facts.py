@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwright.functions import scalars
 from siftwright.functions.scalars import literal_map
 
 # Which methods count as one independent source, and the constants of the merge.
@@ -72,9 +73,9 @@ def judged(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def grounded(proposals: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
-    """Proposals whose quote is found in the text, whatever its case. A blank quote grounds nothing."""
+    """Proposals whose quote is found in the text or in the text with its abbreviations written out, whatever its case. A blank quote grounds nothing."""
     q = F.lower(F.trim(F.coalesce(quote, F.lit(""))))
-    return proposals.filter((q != "") & F.contains(F.lower(text), q))
+    return proposals.filter((q != "") & (F.contains(F.lower(text), q) | F.contains(F.lower(scalars.expand(F.col(text))), q)))
 
 
 def row_scores(facts: DataFrame) -> DataFrame:

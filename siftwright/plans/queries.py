@@ -498,5 +498,5 @@ def q_audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, d.text AS text FROM (SELECT doc_id, substr(text, 1, 40) AS text, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN substr(text, 5, 10) ELSE 'zzzzqq' END AS quote FROM documents) d WHERE trim(quote) <> '' AND contains(lower(text), lower(trim(quote)))")
 def q_evidence_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("text"), F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.substring("text", 5, 10)).otherwise("zzzzqq").alias("quote"))
-    return facts.grounded(d).select("doc_id", "text")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.substring("text", 5, 10)).otherwise("zzzzqq").alias("quote"))
+    return facts.grounded(d).select("doc_id", F.substring("text", 1, 40).alias("text"))

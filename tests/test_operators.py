@@ -80,3 +80,10 @@ def test_vocabulary(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(["red ring", "red ring", "blue ring", ""])], "id long, t string")
     got = {r["gram"]: r["n"] for r in vocabulary.mine(df, "t", seeds=["nut"]).collect()}
     assert got == {"ring": 3, "red ring": 2, "nut": 0}
+
+
+def test_quotes_are_found_in_all_of_a_text_and_in_its_expansion(spark):
+    text = "Kichler Wall Lt " + "x" * 5000 + " brushed in the middle " + "y" * 5000 + " sold in pairs"
+    rows = [(1, text, "kichler"), (2, text, "In The Middle"), (3, text, "sold in pairs"), (4, text, "wall light"), (5, text, "absent"), (6, text, " "), (7, None, "a")]
+    got = facts.grounded(spark.createDataFrame(rows, "id int, text string, quote string"))
+    assert sorted(r["id"] for r in got.collect()) == [1, 2, 3, 4]
