@@ -3,7 +3,8 @@
 Vectors are scaled to length 1 and rotated by a random orthogonal matrix, so that any first d of D coordinates of a difference are a
 fair sample of the whole: with d coordinates seen, partial distance times D / d estimates the distance, with a relative error of
 order 1 / sqrt(d). Centroids are fitted on a bounded sample; every vector is put in the list of its nearest centroid, and lists are cut
-into pieces of bounded size. A query probes its nearest lists. In each, coordinates are read in blocks of columns; after each block a
+into pieces of bounded size. A query probes its nearest lists; then, with its k-th best score known, every list that may hold a
+better one at the chosen error rate; and all lists if it has found fewer than k. In each, coordinates are read in blocks of columns; after each block a
 test drops the candidates whose partial distance already shows, at the chosen error rate, that they lie beyond the query's k-th
 nearest so far. Survivors are measured exactly, in double precision, on the original vectors.
 
@@ -117,11 +118,33 @@ def enough_probes(sample: np.ndarray, centres: np.ndarray, k: int, target: float
     return int(places[min(len(places) - 1, int(np.ceil(target * len(places))) - 1)]) + 1
 
 
+def reach(cos_q: np.ndarray, cos_members: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """How far, in units of what directions around its centroid can give, a list must reach to hold the score: cosines of query and of members to the centroid."""
+    side = np.sqrt(np.maximum(1 - cos_q**2, 0)) * np.sqrt(np.maximum(1 - cos_members**2, 0))
+    return (score - cos_q * cos_members) / np.maximum(side, 1e-9)
+
+
+def enough_reach(sample: np.ndarray, centres: np.ndarray, k: int, target: float, queries: int = 200) -> float:
+    """The reach that the lists of the target share of the sample queries' k nearest in the sample have at least."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return np.inf
+    near = sample[:queries] @ sample.T
+    near[np.arange(len(near)), np.arange(len(near))] = -np.inf
+    to = sample @ centres.T
+    own = to.argmax(axis=1)
+    mean = np.bincount(own, to.max(axis=1), len(centres)) / np.maximum(np.bincount(own, minlength=len(centres)), 1)
+    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(near, best, axis=1).min(axis=1)
+    needed = reach(to[: len(near)][np.arange(len(near))[:, None], own[best]], mean[own[best]], last[:, None])
+    return float(np.quantile(needed, target))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", lists: int | None = None, target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id, score: for each vector for which is_query holds, the k nearest others that are found.
 
     lists: half the square root of the number of vectors unless given. A query probes as many lists as hold the target share of true
-    neighbours within the sample. is_query is of the column id."""
+    neighbours within the sample, and then the others that come near enough. is_query is of the column id."""
     spark = vectors.sparkSession
     ship(spark)
     rows = stored(usable(vectors, id_col, vector_col).withColumn("d", F.size("v")))
@@ -137,8 +160,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     sample = _unit(_matrix(chosen.chunk(0) if isinstance(chosen, pa.ChunkedArray) else chosen)) @ turn.T
     centres = centroids(sample, lists)
     probes = enough_probes(sample, centres, k, target)
+    most = enough_reach(sample, centres, k, target)
 
-    listed = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("query", pa.bool_()), ("lists", pa.list_(pa.int32()))])
+    listed = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("query", pa.bool_()), ("lists", pa.list_(pa.int32())), ("near", pa.float64())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,14 +174,16 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
             best = np.argpartition(-near, probes - 1, axis=1)[:, :probes]
             # a query's own list is always among those it probes
             out = [([h, *(p for p in ps if p != h)][:probes] if q else [h]) for h, ps, q in zip(home.tolist(), best.tolist(), query.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())), b.column(2), pa.array(out, pa.list_(pa.int32()))], schema=listed)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())), b.column(2), pa.array(out, pa.list_(pa.int32())), pa.array(near.max(axis=1))], schema=listed)
 
-    placed = stored(rows.withColumn("query", F.coalesce(is_query, F.lit(False))).mapInArrow(assign, "id long, v array<double>, query boolean, lists array<int>"))
+    placed = stored(rows.withColumn("query", F.coalesce(is_query, F.lit(False))).mapInArrow(assign, "id long, v array<double>, query boolean, lists array<int>, near double"))
     # as many rows as lists; lists are cut into pieces that a task holds at once
-    sizes = placed.groupBy(F.col("lists")[0].alias("list")).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"))
-    pieces = F.broadcast(sizes)
+    sizes = stored(placed.groupBy(F.col("lists")[0].alias("list")).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("pieces"), F.avg("near").alias("near")))
+    used = sizes.toPandas()
+    used_lists, mean = used["list"].to_numpy(), used["near"].to_numpy()
+    pieces = F.broadcast(sizes.select("list", "pieces"))
     members = placed.withColumn("list", F.col("lists")[0]).join(pieces, "list").select("list", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.lit(0).alias("query"), "id", "v")
-    asked = placed.filter("query").withColumn("list", F.explode("lists")).join(pieces, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("list", "piece", F.lit(1).alias("query"), "id", "v")
+    queries = placed.filter("query")
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def look(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -198,9 +224,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
                     yield look(ids, x, turned, list(zip(names[at:end].tolist(), values[at:end], strict=True)))
                 at = end
 
-    dealt = members.union(asked).repartition("list", "piece").sortWithinPartitions("list", "piece", "query", "id")
-    near = dealt.mapInArrow(probe, "query_id long, vec_id long, score double")
-    # ids of repeated queries find the same; each candidate row counts once
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    def looked(queries: DataFrame) -> DataFrame:
+        asked = queries.withColumn("list", F.explode("lists")).join(pieces, "list").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).select("list", "piece", F.lit(1).alias("query"), "id", "v")
+        dealt = members.union(asked).repartition("list", "piece").sortWithinPartitions("list", "piece", "query", "id")
+        return dealt.mapInArrow(probe, "query_id long, vec_id long, score double")
+
+    def ranked(near: DataFrame) -> DataFrame:
+        # ids of repeated queries find the same; each candidate row counts once
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    further = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("lists", pa.list_(pa.int32()))])
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            to = ((_unit(_matrix(b.column(1))) @ turn.T) @ centres.T)[:, used_lists]
+            last = b.column(3).to_numpy(zero_copy_only=False)
+            wanted = (reach(to, mean[None], last[:, None]) <= most) | ~np.isfinite(last)[:, None]
+            out = [sorted(set(used_lists[w].tolist()) - set(had)) for w, had in zip(wanted, b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())), pa.array(out, pa.list_(pa.int32()))], schema=further)
+
+    first = stored(ranked(looked(queries)).select("query_id", "vec_id", "score"))
+    bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("last"))
+    open_ones = queries.join(bounds, F.col("id") == F.col("query_id"), "left").select("id", "v", "lists", F.coalesce("last", F.lit(float("-inf"))).alias("last"))
+    more = looked(open_ones.mapInArrow(widen, "id long, v array<double>, lists array<int>"))
+    return ranked(first.union(more)).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

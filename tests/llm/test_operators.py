@@ -322,6 +322,24 @@ def test_neighbours(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_outliers_among_tight_clusters_find_their_neighbours(spark):
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal((40, 16))
+    x = np.concatenate([np.repeat(middle, 50, axis=0) + 0.01 * rng.standard_normal((2000, 16)), 3 * rng.standard_normal((10, 16))])
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("id") >= 2000, k=5, lists=60).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(2000, 2010):
+        s = u @ u[q]
+        s[q] = -9
+        assert len(got[q]) == 5
+        hits += len(set(got[q]) & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 45
+
+
 # ---- language model
 
 
