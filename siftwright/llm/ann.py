@@ -8,7 +8,7 @@ better one at the chosen error rate; and all lists if it has found fewer than k.
 test drops the candidates whose partial distance already shows, at the chosen error rate, that they lie beyond the query's k-th
 nearest so far. Survivors are measured exactly, in double precision, on the original vectors.
 
-Defined cases: vectors that are null, zero, of another length than the first, or hold a null or non-finite component take no part;
+Defined cases: vectors that are null, zero, of another length than the most frequent (of two, the shorter), or hold a null or non-finite component take no part;
 a query without candidates has no rows; ties go to the smaller id; of rows with one id, each is a candidate of its own but a query is
 never its own candidate by id; an empty table gives an empty result; further columns are ignored.
 """
@@ -149,8 +149,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     ship(spark)
     rows = stored(usable(vectors, id_col, vector_col).withColumn("d", F.size("v")))
     result = "query_id long, rank int, vec_id long, score double"
-    shape = rows.agg(F.count(F.lit(1)).alias("n"), F.min_by("d", "id").alias("d")).first()
-    if not shape["n"]:
+    shape = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    if not shape:
         return spark.createDataFrame([], result)
     n, dim = shape["n"], shape["d"]
     rows = rows.filter(F.col("d") == dim).select("id", "v")
@@ -183,7 +183,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     used_lists, mean = used["list"].to_numpy(), used["near"].to_numpy()
     pieces = F.broadcast(sizes.select("list", "pieces"))
     members = placed.withColumn("list", F.col("lists")[0]).join(pieces, "list").select("list", F.pmod(F.xxhash64("id"), "pieces").cast("int").alias("piece"), F.lit(0).alias("query"), "id", "v")
-    queries = placed.filter("query")
+    # of rows of a query with one direction, one asks
+    direction = F.expr("transform(v, x -> x / array_max(transform(v, y -> abs(y))) + 0.0D)")
+    queries = stored(placed.filter("query").withColumn("direction", direction).dropDuplicates(["id", "direction"]).drop("direction"))
     found = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def look(ids: np.ndarray, x: np.ndarray, turned: np.ndarray, queries: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
@@ -230,9 +232,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
         return dealt.mapInArrow(probe, "query_id long, vec_id long, score double")
 
     def ranked(near: DataFrame) -> DataFrame:
-        # ids of repeated queries find the same; each candidate row counts once
+        # each candidate row counts
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return near.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
     further = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("lists", pa.list_(pa.int32()))])
 

@@ -340,6 +340,13 @@ def test_outliers_among_tight_clusters_find_their_neighbours(spark):
     assert hits >= 45
 
 
+def test_repeated_candidates_all_count_and_one_odd_vector_changes_nothing(spark):
+    rows = [(0, [1.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("id") == 1, k=5).orderBy("rank").collect()
+    assert [(r["rank"], r["vec_id"]) for r in got] == [(1, 2), (2, 2), (3, 3)]
+
+
 # ---- language model
 
 
