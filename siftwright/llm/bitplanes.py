@@ -62,10 +62,11 @@ def pack(ids: np.ndarray, id_bytes: int = 2, mode: str = "bit", level: int = 3)
     return b"".join([MAGIC, struct.pack("<IHH", len(ids), len(planes), 1 if mode == "bit" else 8), struct.pack(f"<{len(planes)}I", *sizes), *bodies])
 
 
-def unpack(body: bytes) -> np.ndarray:
+def unpack(body: bytes | pa.Buffer) -> np.ndarray:
     import zstandard
 
-    if body[:4] != MAGIC:
+    body = memoryview(body)
+    if bytes(body[:4]) != MAGIC:
         raise ValueError("not a chunk")
     d = zstandard.ZstdDecompressor()
     n, count, bits = struct.unpack_from("<IHH", body, 4)
@@ -86,6 +87,15 @@ def unpack(body: bytes) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def _cut(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of these places, cut at chunks: document and place of each part."""
+    a = starts // CHUNK
+    n = (starts + sizes - 1) // CHUNK - a + 1
+    doc = np.repeat(np.arange(len(starts)), n)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    return doc, np.where(nth == 0, starts[doc], (a[doc] + nth) * CHUNK)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_bytes: int = 2, mode: str = "bit", level: int = 3) -> None:
     """Encodes docs (doc_id, text) and writes the shards under path."""
 
@@ -95,42 +105,51 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_bytes: int
         from siftwright.llm.tokens import encoder
 
         e, number = encoder(tokenizer), TaskContext.get().partitionId()
-        held: list[np.ndarray] = []
-        parts: list[dict] = []
-        done: list[dict] = []
-        state = {"first": 0, "n": 0, "chunk": 0, "at": 0}
-
-        def close() -> None:
-            ids = np.concatenate(held)
-            done.append({"shard": number, "chunk": state["chunk"], "first": state["first"], "n_ids": len(ids), "crc": zlib.crc32(ids.astype("<u4").tobytes()), "parts": list(parts), "body": pack(ids, id_bytes, mode, level)})
-            state["first"] += len(ids)
-            state["chunk"] += 1
-            state["n"] = 0
-            held.clear()
-            parts.clear()
-
+        # ids that don't fill a chunk yet; place, document's first id, its ids and length of each part of them; ids in full chunks, and in all
+        ids, held = np.zeros(0, np.uint32), [np.zeros(0, np.int64)] * 4
+        before = seen = 0
+
+        def rows(ids: np.ndarray, parts: list[np.ndarray], before: int, sizes: list[int]) -> pa.RecordBatch:
+            """Of ids, the chunks of these sizes. A part's chunk is its place before ``before``, by the size of full chunks."""
+            ends = np.cumsum(sizes)
+            each = [ids[z - n : z] for n, z in zip(sizes, ends.tolist(), strict=True)]
+            chunk = parts[0] // CHUNK
+            offsets = np.searchsorted(chunk, before // CHUNK + np.arange(len(sizes) + 1))
+            place = parts[0] - chunk * CHUNK
+            # doc_id may be null: its column is Arrow, the others numpy
+            body = pa.StructArray.from_arrays([parts[1], *(pa.array(p.astype(np.int64)) for p in parts[2:4]), pa.array(place.astype(np.int32)), pa.array(parts[4].astype(np.int32))], fields=list(PART))
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(sizes), number, np.int32)),
+                    pa.array((before // CHUNK + np.arange(len(sizes))).astype(np.int32)),
+                    pa.array(before + ends - sizes),
+                    pa.array(sizes, pa.int32()),
+                    pa.array([zlib.crc32(x) for x in each], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), body),
+                    pa.array([pack(x, id_bytes, mode, level) for x in each], pa.binary()),
+                ],
+                schema=CHUNK_ARROW,
+            )
+
+        names: list[pa.Array] = []
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                some = batch.slice(lo, 2048)
-                for doc_id, ids in zip(some.column(0).to_pylist(), e.encode(some.column(1)), strict=True):
-                    ids = np.append(ids, np.uint32(end_id))
-                    at = 0
-                    while at < len(ids):
-                        take = min(CHUNK - state["n"], len(ids) - at)
-                        held.append(ids[at : at + take])
-                        parts.append({"doc_id": doc_id, "doc_first": state["at"], "doc_ids": len(ids), "at": state["n"], "n": take})
-                        state["n"] += take
-                        at += take
-                        if state["n"] == CHUNK:
-                            close()
-                    state["at"] += len(ids)
-                if len(done) >= 16:
-                    yield pa.RecordBatch.from_pylist(done, CHUNK_ARROW)
-                    done.clear()
-        if held:
-            close()
-        if done:
-            yield pa.RecordBatch.from_pylist(done, CHUNK_ARROW)
+            lo = 0
+            for more, sizes in e.with_ends(batch.column(1), end_id):
+                starts = seen + np.cumsum(sizes) - sizes
+                doc, first = _cut(starts, sizes)
+                last = np.minimum(starts[doc] + sizes[doc], (first // CHUNK + 1) * CHUNK)
+                names.append(batch.column(0).slice(lo, len(sizes)).take(pa.array(doc)))
+                held = [np.concatenate(x) for x in zip(held, (first, starts[doc], sizes[doc], last - first), strict=True)]
+                ids = np.concatenate([ids, more])
+                lo, seen = lo + len(sizes), seen + len(more)
+                if full := len(ids) // CHUNK:
+                    all_names = pa.concat_arrays(names)
+                    n = int(np.searchsorted(held[0], before + full * CHUNK))
+                    yield rows(ids, [held[0][:n], all_names.slice(0, n), *(h[:n] for h in held[1:])], before, [CHUNK] * full)
+                    before += full * CHUNK
+                    ids, held, names = ids[full * CHUNK :].copy(), [h[n:] for h in held], [all_names.slice(n)]
+        if len(ids):
+            yield rows(ids, [held[0], pa.concat_arrays(names), *held[1:]], before, [len(ids)])
 
     ship(docs.sparkSession)
     ordered = docs.select("doc_id", text_or_empty().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -178,11 +197,15 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                r = batch.slice(row, 1).to_pylist()[0]
-                data = unpack(r["body"]).astype("<u4").tobytes()
-                if zlib.crc32(data) != r["crc"]:
-                    raise ValueError(f"shard {r['shard']}, chunk {r['chunk']} is damaged")
-                yield pa.RecordBatch.from_pylist([{"shard": r["shard"], "doc_first": p["doc_first"], "doc_id": p["doc_id"], "n_tokens": p["doc_ids"], "chunk": r["chunk"], "n": p["n"], "crc": zlib.crc32(data[4 * p["at"] : 4 * (p["at"] + p["n"])])} for p in r["parts"]], part_schema)
+                shard, chunk, crc = (batch.column(i)[row].as_py() for i in (0, 1, 4))
+                data = memoryview(unpack(batch.column(6)[row].as_buffer()).astype("<u4", copy=False)).cast("B")
+                if zlib.crc32(data) != crc:
+                    raise ValueError(f"shard {shard}, chunk {chunk} is damaged")
+                doc_id, doc_first, doc_ids, at, n = batch.column(5)[row].values.flatten()
+                begin = 4 * at.to_numpy()
+                crcs = [zlib.crc32(data[i:j]) for i, j in zip(begin.tolist(), (begin + 4 * n.to_numpy()).tolist(), strict=True)]
+                same = lambda x, t, n=len(crcs): pa.array(np.full(n, x), t)
+                yield pa.RecordBatch.from_arrays([same(shard, pa.int32()), doc_first, doc_id, doc_ids, same(chunk, pa.int32()), n.cast(pa.int64()), pa.array(crcs, pa.int64())], schema=part_schema)
 
     part_schema = pa.schema([("shard", pa.int32()), ("doc_first", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("chunk", pa.int32()), ("n", pa.int32()), ("crc", pa.int64())])
 

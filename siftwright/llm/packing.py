@@ -249,16 +249,16 @@ def measure(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFram
 
         e = encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                some = batch.slice(lo, 2048)
-                counts, crcs = [], []
-                for ids in e.encode(some.column(1)):
-                    data = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
-                    counts.append(len(data) // 4)
-                    full = len(data) // (4 * size) * 4 * size
-                    at = [*range(0, full, 4 * size), *range(full, len(data), 2 * size)]
-                    crcs.append([zlib.crc32(data[i:j]) for i, j in zip(at, [*at[1:], len(data)], strict=True)])
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(counts, pa.int64()), pa.array(crcs, schema.field(2).type)], schema=schema)
+            lo = 0
+            for ids, counts in e.with_ends(batch.column(1), end_id):
+                data, crcs, begin = memoryview(ids.astype("<u4", copy=False)).cast("B"), [], 0
+                for end in (4 * np.cumsum(counts)).tolist():
+                    full = begin + (end - begin) // (4 * size) * 4 * size
+                    at = [*range(begin, full, 4 * size), *range(full, end, 2 * size), end]
+                    crcs.append([zlib.crc32(data[i:j]) for i, j in zip(at, at[1:])])  # noqa: B905
+                    begin = end
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(counts)), pa.array(counts, pa.int64()), pa.array(crcs, schema.field(2).type)], schema=schema)
+                lo += len(counts)
 
     ship(docs.sparkSession)
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain, repeat
 
@@ -22,6 +23,7 @@ MARKS = ",.;:!?"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are cut into pieces at a time.
 AT_A_TIME = 4_000_000
+WORDS_OF_A_TEXT = 200
 
 
 def _byte_characters() -> dict[int, str]:
@@ -32,7 +34,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 class PieceEncoder:
-    """limit: pieces remembered at most (about 200 bytes each); beyond it, memory is emptied and filled anew."""
+    """limit: pieces remembered at most (about 200 bytes each); beyond it, those asked for seldom are forgotten."""
 
     def __init__(self, path: str, limit: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,59 +43,106 @@ class PieceEncoder:
         self.tokenizer, self.limit, self.characters = Tokenizer.from_file(path), limit, _byte_characters()
         self.tokenizer.model._resize_cache(0)  # every piece comes once
         self.marks = {m: self.tokenizer.token_to_id(m) for m in MARKS}
+        space = self.characters[0x20]
+        vocabulary = self.tokenizer.get_vocab()
+        self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.after_space[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int32), np.zeros(8192, np.uint32)
+        self.asked = np.zeros(1024, np.int32)
         self.used = 0
 
+    def _keep_frequent(self) -> None:
+        """Keeps of the pieces the half of the limit that was asked for most often."""
+        n, pieces = len(self.known), list(self.known)
+        keep = np.flatnonzero(self.asked[:n] > max(1, int(np.partition(self.asked[:n], -(self.limit // 2))[-(self.limit // 2)])))
+        sizes, asked = self.lengths[keep], self.asked[keep]
+        safe = keep[sizes >= 0]
+        ids = self._gather(safe)
+        self._forget()
+        self._store([pieces[i] for i in keep.tolist()], ids, sizes)
+        self.asked[: len(keep)] = asked // 2
+
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _piece(self, piece: str) -> list[int] | None:
-        """A piece stands for itself if it starts with a line feed, else for itself after a space. None: its ends aren't safe to cut at.
-
-        A word of Latin letters is a single unit of the splitting pattern, so the model takes it at once."""
-        if piece.isalpha() and max(piece) < "ɐ":
-            return [t.id for t in self.tokenizer.model.tokenize(f" {piece}".encode().decode("latin-1").translate(self.characters))]
+    def _one(self, piece: str) -> list[int] | None:
+        """A piece stands for itself if it starts with a line feed, else for itself after a space. None: its ends aren't safe to cut at."""
         rest = piece[1:] if piece[:1] == "\n" else piece
         if not rest or rest[0].isspace() or rest[-1].isspace():
             return None
-        if piece[-1] in MARKS and piece[:-1].isalpha() and (known := self.known.get(piece[:-1])) is not None:
-            return [*self.ids[self.starts[known] : self.starts[known] + self.lengths[known]].tolist(), self.marks[piece[-1]]]
         return self.tokenizer.encode(piece if piece[0] == "\n" else f" {piece}", add_special_tokens=False).ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        if words := {p[:-1] for p in pieces if p[-1:] in self.marks and p[:-1].isalpha()}.difference(self.known, pieces):
-            self._learn(list(words))
-        # words first: those with a mark after them need them
-        for some in ([p for p in pieces if p[-1:] not in self.marks], [p for p in pieces if p[-1:] in self.marks]):
-            self._store(some, [self._piece(p) for p in some])
+    def _words(self, pieces: list[str]) -> None:
+        """Of words of Latin letters: each, after a space, is a single unit of the splitting pattern, so many are encoded as one text.
+        Its words are told apart by the tokens that begin with a space, which none but a word's first does."""
+        texts = [" " + " ".join(pieces[i : i + WORDS_OF_A_TEXT]) for i in range(0, len(pieces), WORDS_OF_A_TEXT)]
+        ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))), np.uint32)
+        first = np.flatnonzero(self.after_space[ids])
+        if len(first) == len(pieces):
+            self._store(pieces, ids, np.diff(first, append=len(ids)))
+        else:
+            self._others(pieces)
+
+    def _marked(self, pieces: list[str]) -> None:
+        """Of known words with a mark after them."""
+        word = np.array([self.known[p[:-1]] for p in pieces], np.int64)
+        sizes = self.lengths[word] + 1
+        ends = np.cumsum(sizes, dtype=np.int64)
+        ids = self.ids[np.minimum(np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[word] - (ends - sizes), sizes), len(self.ids) - 1)]
+        ids[ends - 1] = [self.marks[p[-1]] for p in pieces]
+        self._store(pieces, ids, sizes)
+
+    def _others(self, pieces: list[str]) -> None:
+        found = [self._one(p) for p in pieces]
+        ids = np.array(list(chain.from_iterable(f or () for f in found)), np.uint32)
+        self._store(pieces, ids, np.array([-1 if f is None else len(f) for f in found], np.int64))
 
-    def _store(self, pieces: list[str], found: list[list[int] | None]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
+        words, marked, other = [], [], []
+        for p in pieces:
+            if self._is_word(p):
+                words.append(p)
+            elif p[-1:] in self.marks and self._is_word(p[:-1]):
+                marked.append(p)
+            else:
+                other.append(p)
+        words += {p[:-1] for p in marked}.difference(self.known, words)
+        self._words(words)
+        self._marked(marked)
+        self._others(other)
+
+    @staticmethod
+    def _is_word(piece: str) -> bool:
+        return piece.isalpha() and max(piece) < "ɐ"
+
+    def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """lengths: -1 for pieces that aren't safe."""
         at, n = len(self.known), len(pieces)
         if at + n > len(self.starts):
             grow = max(at + n, 3 * len(self.starts) // 2)
-            self.starts, self.lengths = np.resize(self.starts, grow), np.resize(self.lengths, grow)
-        lengths = np.fromiter((0 if f is None else len(f) for f in found), np.int64, n)
-        total = int(lengths.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, max(self.used + total, 3 * len(self.ids) // 2))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(f or () for f in found), np.uint32, total)
-        self.lengths[at : at + n] = np.where([f is None for f in found], -1, lengths)
-        self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
-        self.used += total
+            self.starts, self.lengths, self.asked = (np.resize(x, grow) for x in (self.starts, self.lengths, self.asked))
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, max(self.used + len(ids), 3 * len(self.ids) // 2))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.lengths[at : at + n] = lengths
+        self.starts[at : at + n] = self.used + np.cumsum(np.maximum(lengths, 0)) - np.maximum(lengths, 0)
+        self.asked[at : at + n] = 0
+        self.used += len(ids)
         self.known.update(zip(pieces, range(at, at + n), strict=True))
 
     def _look_up(self, pieces: list[str]) -> np.ndarray:
         """pieces: each once, or known."""
         if len(self.known) > self.limit:
-            self._forget()
+            self._keep_frequent()
         index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         if len(new := np.flatnonzero(index < 0)):
             self._learn(list({pieces[i]: None for i in new.tolist()}))
             index[new] = np.fromiter((self.known[pieces[i]] for i in new.tolist()), np.int64, len(new))
+        np.add.at(self.asked, index, 1)
         return index
 
     def _gather(self, index: np.ndarray) -> np.ndarray:
@@ -110,34 +159,35 @@ class PieceEncoder:
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        return [x for ids, sizes in self.with_ends(texts, 0) for x in (y[:-1] for y in np.split(ids, np.cumsum(sizes)[:-1]))]
+
+    def with_ends(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one slice of the texts after the other: the ids of its texts in one array, end_id after each text; and each text's number of them."""
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        out: list[np.ndarray] = []
         at = 0
         while at < len(texts):
             n = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_A_TIME, "right")))
-            out += self._encode(texts.slice(at, n - at))
+            yield self._with_ends(texts.slice(at, n - at), end_id)
             at = n
-        return out
 
-    def _encode(self, texts: pa.Array) -> list[np.ndarray]:
+    def _with_ends(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         cut = pc.split_pattern(pc.binary_join_element_wise("\n", pc.replace_substring(texts, "\n", " \n"), ""), " ")
         counts = np.diff(cut.offsets.to_numpy())
         pieces = cut.flatten().dictionary_encode()
         index = self._look_up(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())[pieces.indices.to_numpy()]
-        odd = np.minimum.reduceat(self.lengths[index], np.cumsum(counts) - counts) < 0
-        index = index[np.repeat(~odd, counts)] if odd.any() else index
-        ids = self._gather(index)
-        done = np.cumsum(self.lengths[index], dtype=np.int64)
-        ends = iter(done[np.cumsum(counts[~odd]) - 1].tolist() if len(index) else [])
-        out, start = [], 0
-        for i, o in enumerate(odd.tolist()):
-            if o:
-                out.append(self._odd(texts[i].as_py()))
-            else:
-                end = next(ends)
-                out.append(ids[start + 1 : end])  # without the line feed put before each text
-                start = end
-        return out
+        first = np.cumsum(counts) - counts
+        odd = np.minimum.reduceat(self.lengths[index], first) < 0
+        if odd.any():
+            index, counts = index[np.repeat(~odd, counts)], counts[~odd]
+        # the line feed that was put before each text makes room for the end of the text before
+        ids = np.append(self._gather(index)[1:], np.uint32(end_id))
+        done = np.cumsum(self.lengths[index], dtype=np.int64)[np.cumsum(counts) - 1] if len(index) else np.zeros(0, np.int64)
+        ids[done - 1] = end_id
+        if not odd.any():
+            return ids, np.diff(done, prepend=0)
+        plain = iter(np.split(ids[: done[-1]], done[:-1]) if len(done) else [])
+        each = [np.append(self._odd(texts[i].as_py()), np.uint32(end_id)) if o else next(plain) for i, o in enumerate(odd.tolist())]
+        return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
 
 
 @lru_cache(maxsize=2)
