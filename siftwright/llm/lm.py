@@ -50,7 +50,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and tail class of each token, an end after each text; and the number of tokens of each text."""
     data, starts, ends, counts = words.bounds(texts)
     low = _LOWER[data]
-    h = words.mix(words._ranges(low.astype(np.uint64) + np.uint64(1), starts, ends, words.BYTE_BASE))
+    h = words.of_bytes(low, starts, ends)
     last = low[ends - 1] % TAIL if len(ends) else np.zeros(0, np.uint8)
     with_end = counts + 1
     total = int(with_end.sum())

@@ -6,15 +6,17 @@ and documents are streamed through them for matching statistics.
 ``repeats`` does it for a corpus against itself, where the references are all documents. Automata of the whole corpus cannot be
 broadcast, so it first finds which passages can matter at all. Every window of ``span`` words has an anchor, the least hash of its
 n-grams of ``GRAM`` words, so equal windows have equal anchors; consecutive windows of one anchor are a run. Runs whose anchor occurs
-once are done with. Of runs with equal words, all but the first are repeats. What is left are runs that share an anchor and differ
-in some words: those of one anchor are a reference shard, whose suffix automaton is built run by run, in order of document and start,
-each run being streamed through the automaton of the runs before it. Anchors with more than ``SHARD`` different runs don't go to one
-task: their windows are compared by hash and least (document, start), which is aggregated before it is shuffled.
+once are done with. Of runs with equal words, all but the first are repeats; tasks put equal runs of a slice of text in one row
+before anything is shuffled, so that a passage in every document makes few rows. What is left are runs that share an anchor and
+differ in some words: those of one anchor are a reference shard, whose suffix automaton is built run by run, in order of document and
+start, each run being streamed through the automaton of the runs before it. Streaming through more than ``SHARD`` runs of an anchor
+would make one task large, and splitting them into shards that each see all runs would cost their square; there, windows are keyed by
+their whole words in place of their anchor, so that each window is a shard of its own. No run is left out either way.
 
-Words are runs of anything but U+0020 and U+0009 to U+000D, compared by 64-bit hashes.
+Words are runs of anything but U+0020 and U+0009 to U+000D, held as hashes of 62 bits; runs and windows are compared by 124 bits.
 
-Defined cases: null and empty texts have no words; texts shorter than the span lose nothing; rows of one id are taken for one
-document, which loses the words found in any of its rows; rows with a null id lose nothing and take nothing from others; an empty
+Defined cases: null and empty texts have no words; texts shorter than the span lose nothing; of rows of one id each loses what also
+starts in a document of smaller id, or at an earlier word of any row of its id; rows with a null id lose nothing and take nothing from others; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -25,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,13 +143,13 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def _runs(texts: pa.Array, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """For each run: text, start (word in the text), number of windows, hash of the anchor, hash of the run's words."""
+    """For each run: text, start (word in the text), number of windows, hash of the anchor; and start among the words of all texts, with those words' hashes."""
     h, counts = words.hashes(texts)
-    _, at = words.windows(h, counts, span)
+    at = words.places(counts, span)
     none = np.zeros(0, np.int64)
     if not len(at):
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    grams = words.mix(words._ranges(h, np.arange(len(h) - gram + 1), np.arange(gram, len(h) + 1), words.WORD_BASE))
+        return none, none, none, none.astype(np.uint64), none, h
+    grams = words.of_ranges(h, np.arange(len(h) - gram + 1), np.arange(gram, len(h) + 1))
     anchor = _least(grams, span - gram + 1)[at]
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)])
     first = np.flatnonzero(new)
@@ -154,127 +157,206 @@ def _runs(texts: pa.Array, span: int, gram: int) -> tuple[np.ndarray, ...]:
     start = at[first]
     ends = np.cumsum(counts)
     doc = np.searchsorted(ends, start, "right")
-    return doc, start - (ends - counts)[doc], n, grams[anchor[first]], words.of_ranges(h, start, start + n + span - 1)
+    return doc, start - (ends - counts)[doc], n, grams[anchor[first]], start, h
+
+
+_PLACE = np.dtype([("doc_id", "<i8"), ("pos", "<i4")])
+_RUN = [("anchor", pa.int64()), ("n", pa.int32()), ("p1", pa.int64()), ("p2", pa.int64())]
+RUN_KEY = [name for name, _ in _RUN]
+
+
+def _anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
+    """a, c: how many runs have each anchor."""
+    schema = pa.schema([("a", pa.int64()), ("c", pa.int64())])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in words.in_parts(batch, 0):
+                anchor, n = np.unique(_runs(b.column(0), span, gram)[3], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], schema=schema)
+
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("text").mapInArrow(find, "a long, c long").groupBy("a").agg(F.sum("c").alias("c"))
 
 
 def runs(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    """anchor, doc_id, pos, n, print: the runs of all documents."""
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("print", pa.int64())])
+    """RUN_KEY, doc_id, pos, rest: equal runs of a slice of text in one row, with the first's place and, packed, those of the rest (null: none)."""
+    schema = pa.schema([*_RUN, ("doc_id", pa.int64()), ("pos", pa.int32()), ("rest", pa.binary())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.in_parts(batch, 1):
-                doc, pos, n, anchor, prints = _runs(b.column(1), span, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), b.column(0).take(pa.array(doc)), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(prints.view(np.int64))], schema=schema)
+                doc, pos, n, anchor, start, h = _runs(b.column(1), span, gram)
+                if not len(doc):
+                    continue
+                p1, p2 = words.prints(h, start, start + n + span - 1)
+                place = np.empty(len(doc), _PLACE)
+                place["doc_id"], place["pos"] = b.column(0).to_numpy()[doc], pos
+                order = np.lexsort((place["pos"], place["doc_id"], n, p2, p1))
+                doc, n, anchor, p1, p2, place = (x[order] for x in (doc, n, anchor, p1, p2, place))
+                new = np.concatenate([[True], (p1[1:] != p1[:-1]) | (p2[1:] != p2[:-1]) | (n[1:] != n[:-1]) | (anchor[1:] != anchor[:-1])])
+                first = np.flatnonzero(new)
+                more = np.diff(np.append(first, len(p1)))
+                rest = np.full(len(first), None, object)
+                for i in np.flatnonzero(more > 1).tolist():
+                    rest[i] = place[first[i] + 1 : first[i] + more[i]].tobytes()
+                as_long = lambda x: pa.array(x[first].view(np.int64))
+                yield pa.RecordBatch.from_arrays([as_long(anchor), pa.array(n[first].astype(np.int32)), as_long(p1), as_long(p2), pa.array(place["doc_id"][first]), pa.array(place["pos"][first]), pa.array(rest, pa.binary())], schema=schema)
+
+    kind = "anchor long, n int, p1 long, p2 long, doc_id long, pos int, rest binary"
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(find, kind)
+
+
+_FOUND = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("print", pa.int64())])
+FOUND = "doc_id long, pos int, n int, print long"
+
+
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """FOUND for every place of rows (RUN_KEY, doc_id, pos, rest) after the first place of the run (first_doc, first_pos)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc_id, pos, n, p1, first_doc, first_pos = (b.column(c).to_numpy() for c in ("doc_id", "pos", "n", "p1", "first_doc", "first_pos"))
+            rest = b.column("rest").fill_null(b"")
+            more = pc.binary_length(rest).to_numpy() // _PLACE.itemsize
+            place = np.frombuffer(b"".join(rest.to_pylist()), _PLACE)
+            row = np.concatenate([np.arange(len(n)), np.repeat(np.arange(len(n)), more)])
+            doc, at = np.concatenate([doc_id, place["doc_id"]]), np.concatenate([pos, place["pos"]])
+            later = (doc > first_doc[row]) | (doc == first_doc[row]) & (at > first_pos[row])
+            row = row[later]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(at[later]), pa.array(n[row]), pa.array(p1[row])], schema=_FOUND)
 
-    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").mapInArrow(find, "anchor long, doc_id long, pos int, n int, print long")
+    return rows.mapInArrow(spread, FOUND)
 
 
 def _words_of(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """wanted (anchor, doc_id, pos, n, many) with the hashes of each run's words. The text of an id is that in which the run is found."""
-    lists = wanted.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("anchor", "pos", "n", "many", "print")).alias("runs"))
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("many", pa.bool_()), ("words", pa.binary())])
+    """wanted (RUN_KEY, doc_id, pos, many) with the hashes of each run's words. The text of an id is that in which the run is found."""
+    lists = wanted.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct(*RUN_KEY, "pos", "many")).alias("runs"))
+    schema = pa.schema([*_RUN, ("doc_id", pa.int64()), ("pos", pa.int32()), ("many", pa.bool_()), ("words", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.in_parts(batch, 1):
                 h, counts = words.hashes(b.column(1))
-                first = np.cumsum(counts) - counts
+                begin = np.cumsum(counts) - counts
                 lists = b.column(2)
                 doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-                anchor, pos, n, many, prints = lists.flatten().flatten()
-                start, size = first[doc] + pos.to_numpy(), n.to_numpy() + span - 1
-                fits = pos.to_numpy() + size <= counts[doc]
+                anchor, n, p1, p2, pos, many = lists.flatten().flatten()
+                start, size = begin[doc] + pos.to_numpy(), n.to_numpy() + span - 1
+                fits = np.flatnonzero(pos.to_numpy() + size <= counts[doc])
+                q1, q2 = words.prints(h, start[fits], start[fits] + size[fits])
                 same = np.zeros(len(doc), bool)
-                same[fits] = words.of_ranges(h, start[fits], start[fits] + size[fits]).view(np.int64) == prints.to_numpy()[fits]
+                same[fits] = (q1.view(np.int64) == p1.to_numpy()[fits]) & (q2.view(np.int64) == p2.to_numpy()[fits])
                 keep = pa.array(same)
                 bodies = [h[s : s + z].tobytes() for s, z in zip(start[same].tolist(), size[same].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([anchor.filter(keep), b.column(0).take(pa.array(doc[same])), pos.filter(keep), n.filter(keep), many.filter(keep), pa.array(bodies, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(x.filter(keep) for x in (anchor, n, p1, p2)), b.column(0).take(pa.array(doc[same])), pos.filter(keep), many.filter(keep), pa.array(bodies, pa.binary())], schema=schema)
 
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text")
-    return texts.join(lists, texts["doc_id"] == lists["d"]).select("doc_id", "text", "runs").mapInArrow(cut, "anchor long, doc_id long, pos int, n int, many boolean, words binary")
-
-
-_FOUND = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
+    kind = "anchor long, n int, p1 long, p2 long, doc_id long, pos int, many boolean, words binary"
+    return texts.join(lists, texts["doc_id"] == lists["d"]).select("doc_id", "text", "runs").mapInArrow(cut, kind).dropDuplicates(RUN_KEY)
 
 
 def _through_automata(shards: DataFrame, span: int) -> DataFrame:
-    """doc_id, pos, n of the windows that an earlier run of the same shard has."""
+    """FOUND for the windows that an earlier run of the same shard has."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, automaton = None, SuffixAutomaton()
         for b in batches:
-            out: list[tuple[int, int, int]] = []
-            for a, doc, pos, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 5)), strict=True):
+            docs, places, hashed = [], [], []
+            for a, doc, pos, body in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "pos", "words")), strict=True):
                 if a != anchor:
                     anchor, automaton = a, SuffixAutomaton()
-                sequence = np.frombuffer(body, np.uint64).tolist()
-                out += [(doc, pos + end - span + 1, 1) for end, n in enumerate(automaton.statistics(sequence)) if n >= span]
-                automaton.add(sequence)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(_FOUND)], schema=_FOUND)
+                sequence = np.frombuffer(body, np.uint64)
+                as_list = sequence.tolist()
+                found = np.flatnonzero(np.array(automaton.statistics(as_list)) >= span) - span + 1
+                automaton.add(as_list)
+                if len(found):
+                    docs.append(np.full(len(found), doc, np.int64))
+                    places.append(pos + found)
+                    hashed.append(words.prints(sequence, found, found + span)[0].view(np.int64))
+            if docs:
+                where = np.concatenate(places).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(where), pa.array(np.ones(len(where), np.int32)), pa.array(np.concatenate(hashed))], schema=_FOUND)
 
     dealt = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos")
-    return dealt.mapInArrow(stream, "doc_id long, pos int, n int")
+    return dealt.mapInArrow(stream, FOUND)
 
 
 def _by_window(rows: DataFrame, span: int) -> DataFrame:
-    """The same for anchors with many runs: a window is a repeat if the least (document, start) with its hash is not its own."""
-    schema = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+    """The same for anchors with many runs: a window is a repeat if the least (document, start) with its words is not its own."""
+    schema = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column(3).to_numpy().astype(np.int64)
-            h = np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64)
-            hashes, _ = words.windows(h, n + span - 1, span)
+            n = b.column("n").to_numpy().astype(np.int64)
+            h = np.frombuffer(b"".join(b.column("words").to_pylist()), np.uint64)
+            at = words.places(n + span - 1, span)
+            w1, w2 = words.prints(h, at, at + span)
             doc = np.repeat(np.arange(len(n)), n)
             shift = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), b.column(1).take(pa.array(doc)), pa.array((b.column(2).to_numpy()[doc] + shift).astype(np.int32))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), b.column("doc_id").take(pa.array(doc)), pa.array((b.column("pos").to_numpy()[doc] + shift).astype(np.int32))], schema=schema)
 
-    windows = rows.mapInArrow(cut, "window long, doc_id long, pos int")
-    first = windows.groupBy(F.col("window").alias("w")).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return windows.join(first, windows["window"] == first["w"]).filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", F.lit(1).alias("n"))
+    windows = rows.mapInArrow(cut, "w1 long, w2 long, doc_id long, pos int")
+    first = windows.groupBy(F.col("w1").alias("k1"), F.col("w2").alias("k2")).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return windows.join(first, F.expr("w1 = k1 AND w2 = k2")).filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", F.lit(1).alias("n"), F.col("w1").alias("print"))
 
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, pos, n: n windows from word pos on, each of which starts earlier, too. Windows may come more than once."""
+    """FOUND: n windows from word pos on, with their words' print, each of which starts earlier, too. Windows may come more than once."""
     if (span - gram + 1) & (span - gram):
         raise ValueError("span - gram + 1 must be a power of two")
     ship(docs.sparkSession)
-    again = runs(docs, span, gram).groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("a")
+    again = _anchors(docs, span, gram).filter("c > 1").select("a")
     every = runs(docs, span, gram)
     shared = stored(every.join(again, every["anchor"] == again["a"], "left_semi"))
-    distinct = stored(shared.groupBy("print").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")))
-    more = distinct.filter("c > 1").select(F.col("print").alias("p"), "first")
-    copies = shared.join(more, shared["print"] == more["p"]).filter(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", "n")
+    times = 1 + F.coalesce(F.octet_length("rest") / _PLACE.itemsize, F.lit(0)).cast("long")
+    distinct = stored(shared.groupBy(*RUN_KEY).agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.sum(times).alias("c")))
+    more = distinct.filter("c > 1").select(*RUN_KEY, F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    copies = _unpacked(shared.join(more, RUN_KEY).select(*RUN_KEY, "doc_id", "pos", "rest", "first_doc", "first_pos"))
     mixed = distinct.groupBy(F.col("anchor").alias("a")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    wanted = distinct.join(mixed, distinct["anchor"] == mixed["a"]).select("anchor", "first.doc_id", "first.pos", "n", "print", (F.col("k") > SHARD).alias("many"))
-    passages = stored(_words_of(docs, stored(wanted), span).dropDuplicates(["anchor", "doc_id", "pos"]))
+    wanted = distinct.join(mixed, distinct["anchor"] == mixed["a"]).select(*RUN_KEY, "first.doc_id", "first.pos", (F.col("k") > SHARD).alias("many"))
+    passages = stored(_words_of(docs, stored(wanted), span))
     return copies.union(_through_automata(passages.filter("NOT many"), span)).union(_by_window(passages.filter("many"), span))
 
 
 def removed(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space) and kept (those words) for each row of docs."""
-    found = repeats(docs, span, gram).groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("pos").alias("starts"), F.collect_list("n").alias("ns"))
+    found = repeats(docs, span, gram).groupBy(F.col("doc_id").alias("d")).agg(*(F.collect_list(c).alias(c) for c in ("pos", "n", "print")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
+    def gone(texts: pa.Array, lists: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of all texts whether it goes; and each text's number of words. Windows of another row of an id, known by their print, don't count."""
+        pos, n, prints = (x.flatten().to_numpy() for x in lists)
+        if len(pos):
+            h, counts = words.hashes(texts)
+        else:
+            counts = words.bounds(texts)[3]
+        change = np.zeros(int(counts.sum()) + 1, np.int64)
+        if len(pos):
+            doc = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False))
+            fits = np.flatnonzero(pos + n + span - 1 <= counts[doc])
+            start = (np.cumsum(counts) - counts)[doc[fits]] + pos[fits]
+            end = start + n[fits] + span - 1
+            same = words.prints(h, start, end)[0].view(np.int64) == prints[fits]
+            np.add.at(change, start[same], 1)
+            np.add.at(change, end[same], -1)
+        return np.cumsum(change[:-1]) > 0, counts
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for text, starts, ns in zip(b.column(1), b.column(2), b.column(3), strict=True):
-                tokens = text.as_buffer().to_pybytes().split()
-                kept = tokens
-                if starts.is_valid:
-                    change = np.zeros(len(tokens) + 1, np.int64)
-                    s = np.minimum(starts.values.to_numpy(), len(tokens))
-                    np.add.at(change, s, 1)
-                    np.add.at(change, np.minimum(s + ns.values.to_numpy() + span - 1, len(tokens)), -1)
-                    kept = [tokens[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
-                body = b" ".join(kept)
-                rows.append((len(tokens), len(tokens) - len(kept), hashlib.sha256(body).hexdigest(), body))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+        for batch in batches:
+            for b in words.in_parts(batch, 1):
+                lost, counts = gone(b.column(1), b.columns[2:])
+                ends = np.cumsum(counts)
+                removed = np.diff(np.concatenate([[0], np.cumsum(lost)])[np.concatenate([[0], ends])])
+                bodies = []
+                for text, n, end, some in zip(b.column(1), counts.tolist(), ends.tolist(), removed.tolist(), strict=True):
+                    kept = text.as_buffer().to_pybytes().split()
+                    if some:
+                        kept = [kept[i] for i in np.flatnonzero(~lost[end - n : end]).tolist()]
+                    bodies.append(b" ".join(kept))
+                digests = [hashlib.sha256(x).hexdigest() for x in bodies]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests), pa.array(bodies, pa.binary())], schema=schema)
 
     ship(docs.sparkSession)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    joined = texts.join(found, texts["doc_id"] == found["d"], "left").select("doc_id", "text", "starts", "ns")
+    joined = texts.join(found, texts["doc_id"] == found["d"], "left").select("doc_id", "text", "pos", "n", "print")
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))

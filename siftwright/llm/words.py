@@ -1,37 +1,47 @@
-"""Words of Arrow text columns as 64-bit hashes, without making Python strings.
+"""Words of Arrow text columns as hashes, without making Python strings.
 
-A word is a run of bytes other than U+0020 and U+0009 to U+000D. Hashes are differences of running polynomial sums modulo 2^64, so
-each word, and each window of words, costs the same few operations whatever its length; a finaliser mixes the bits.
+A word is a run of bytes other than U+0020 and U+0009 to U+000D. Hashes are values of polynomials at fixed points modulo the prime
+2^31 - 1, taken as differences of running sums, so each word, and each window of words, costs the same few operations whatever its
+length. A word's hash is of two points (62 bits), a print of four (124 bits); a finaliser mixes the bits. Running sums are taken in
+blocks, so memory beside the text is that of its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+PRIME = np.uint64((1 << 31) - 1)
+#: Points of the polynomials over bytes and over words.
+BYTE_POINTS, WORD_POINTS = (0x3C6EF372, 0x54FF53A5), (0x1B873593, 0x4CC9E2D5, 0x27D4EB2F, 0x165667B1)
+#: Powers kept of a point; values summed up at a time.
+BLOCK, GROUP = 1 << 14, 1 << 20
 AT_A_TIME = 500_000
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+@lru_cache(maxsize=32)
+def _powers(point: int) -> np.ndarray:
+    """point ** i modulo the prime, for i up to BLOCK."""
+    out, x, p = np.empty(BLOCK + 1, np.uint64), 1, int(PRIME)
+    for i in range(BLOCK + 1):
+        out[i] = x
+        x = x * point % p
+    return out
 
 
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and its inverse modulo 2^64, for i below size at least. One table for each base is kept, as large as the longest text needed."""
-    if base not in _POWERS or len(_POWERS[base][0]) < size:
-        out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(1 << max(12, int(size).bit_length()), b, np.uint64)
-            p[0] = 1
-            out.append(np.multiply.accumulate(p, out=p))
-        _POWERS[base] = (out[0], out[1])
-    return _POWERS[base]
+def _power(point: int, at: np.ndarray) -> np.ndarray:
+    up, far = _powers(point), _powers(int(_powers(point)[BLOCK]))
+    at = at.astype(np.int64)
+    if len(at) and int(at.max()) >= BLOCK * BLOCK:
+        raise ValueError("a text of more than 268 million words or bytes")
+    return up[at % BLOCK] * far[at // BLOCK] % PRIME
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,12 +50,57 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial of values[start:end] for each range."""
-    up, down = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=sums[1:])
-    return (sums[ends] - sums[starts]) * down[starts]
+def _sums(values: np.ndarray, point: int, places: np.ndarray) -> np.ndarray:
+    """At each place, the sum of value * point ** index over the values before it. Bytes count one more than they are; others are below the prime."""
+    out, up = np.zeros(len(places), np.uint64), _powers(point)[:BLOCK]
+    step, factor, before = int(_powers(point)[BLOCK]), 1, 0
+    order = None if len(values) <= GROUP else np.argsort(places, kind="stable")
+    ordered = places if order is None else places[order]
+    for lo in range(0, len(values), GROUP):
+        some = values[lo : lo + GROUP]
+        grid = np.zeros(-(-len(some) // BLOCK) * BLOCK, np.uint64)
+        grid[: len(some)] = some
+        if values.dtype == np.uint8:
+            grid[: len(some)] += np.uint64(1)
+        grid = grid.reshape(-1, BLOCK)
+        grid *= up
+        if values.dtype != np.uint8:
+            grid %= PRIME
+        np.cumsum(grid, axis=1, out=grid)
+        factors, offsets = np.empty(len(grid), np.uint64), np.empty(len(grid), np.uint64)
+        for b, total in enumerate((grid[:, -1] % PRIME).tolist()):
+            factors[b], offsets[b] = factor, before
+            before = (before + factor * total) % int(PRIME)
+            factor = factor * step % int(PRIME)
+        if order is None:
+            mine = np.flatnonzero(places)
+        else:
+            a, z = np.searchsorted(ordered, [lo + 1, lo + len(some) + 1])
+            mine = order[a:z]
+        last = places[mine] - (lo + 1)
+        block = last // BLOCK
+        out[mine] = (offsets[block] + factors[block] * (grid.reshape(-1)[last] % PRIME)) % PRIME
+    return out
+
+
+def _polynomials(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: int) -> np.ndarray:
+    """Of values[start:end] for each range."""
+    sums = _sums(values, point, np.concatenate([starts, ends]))
+    return (sums[len(starts) :] + PRIME - sums[: len(starts)]) % PRIME * _power(pow(point, -1, int(PRIME)), starts) % PRIME
+
+
+def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return mix(high << np.uint64(31) | low)
+
+
+def _lane(words: np.ndarray, i: int) -> np.ndarray:
+    """Words as values below the prime, for each point others."""
+    return mix(words ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) % PRIME
+
+
+def of_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of bytes."""
+    return _pair(*(_polynomials(data, starts, ends, p) for p in BYTE_POINTS))
 
 
 def bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,20 +124,31 @@ def bounds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and the number of words of each text."""
     data, starts, ends, counts = bounds(texts)
-    return mix(_ranges(data.astype(np.uint64) + np.uint64(1), starts, ends, BYTE_BASE)), counts
+    return of_bytes(data, starts, ends), counts
 
 
-def windows(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of k words within a text, and its first word's index among all words."""
+def of_ranges(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each range of words."""
+    return _pair(*(_polynomials(_lane(words, i), starts, ends, p) for i, p in enumerate(WORD_POINTS[:2])))
+
+
+def prints(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each range of words, in two halves."""
+    a, b, c, d = (_polynomials(_lane(words, i), starts, ends, p) for i, p in enumerate(WORD_POINTS))
+    return _pair(a, b), _pair(c, d)
+
+
+def places(counts: np.ndarray, k: int) -> np.ndarray:
+    """First word's index, among all words, of each window of k words within a text."""
     ends = np.cumsum(counts)
     m = np.maximum(counts - (k - 1), 0)
-    at = np.arange(int(m.sum())) + np.repeat(ends - counts - (np.cumsum(m) - m), m)
-    return mix(_ranges(words, at, at + k, WORD_BASE)), at
+    return np.arange(int(m.sum())) + np.repeat(ends - counts - (np.cumsum(m) - m), m)
 
 
-def of_ranges(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each range of words."""
-    return mix(_ranges(words, starts, ends, WORD_BASE) ^ (ends - starts).astype(np.uint64))
+def windows(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each window of k words within a text, and its first word's index among all words."""
+    at = places(counts, k)
+    return of_ranges(words, at, at + k), at
 
 
 def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:

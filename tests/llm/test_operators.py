@@ -7,12 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftwright.llm import ann, graph, langid, lm, mixing, neardup, pii, quality, substrings
+from siftwright.llm import ann, graph, langid, lm, mixing, neardup, pii, quality, substrings, words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, label string, score string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -280,6 +281,41 @@ def test_removed_words(spark, monkeypatch, shard):
     assert substrings.removed(frame(spark, [])).count() == 0
 
 
+def test_words_that_collide_under_simple_hashes_and_rows_of_one_id(spark):
+    thue = [bin(i).count("1") & 1 for i in range(1024)]
+    a, b = "".join("ab"[x] for x in thue), "".join("ba"[x] for x in thue)
+    assert len(set(words.hashes(pa.array([f"{a} {b}"]))[0].tolist())) == 2
+    rng = np.random.default_rng(3)
+    passages = [" ".join(f"p{i}q{rng.integers(1000)}" for _ in range(30)) for i in range(8)]
+    common = " ".join(f"z{i}" for i in range(20))
+    texts, ids = [], []
+    for i, p in enumerate(passages):  # two texts of one id, each of which a later document repeats
+        texts += [p, f"x{i} " + common + " " + p[::-1]]
+        ids += [i // 2, i // 2]
+    texts += [p for p in passages] + [f"{common} {a} tail", f"{common} {b} tail"]
+    ids += list(range(100, 100 + len(passages) + 2))
+    got = collections.defaultdict(list)
+    for r in substrings.removed(frame(spark, texts, ids=ids)).collect():
+        got[r["doc_id"]].append((r["n_words"], r["n_removed"]))
+    assert all(got[100 + i] == [(30, 30)] for i in range(8))
+    assert got[108] == got[109] == [(22, 20)]
+    first = min((ids[i], i) for i in range(16))[0]
+    assert all(sorted(n for n, _ in got[i]) == sorted(len(texts[k].split()) for k in range(16) if ids[k] == i) for i in range(4)) and first == 0
+
+
+def test_hashes_do_not_depend_on_what_is_around_or_on_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    text = " ".join("".join(rng.choice(list("abé"), rng.integers(1, 9))) for _ in range(3000))
+    alone = [words.hashes(pa.array([w]))[0][0] for w in text.split()]
+    assert words.hashes(pa.array(["some first", text]))[0][2:].tolist() == alone
+    h = np.array(alone)
+    at = np.arange(2900)
+    whole = words.prints(h, at, at + 100)
+    monkeypatch.setattr(words, "GROUP", words.BLOCK)
+    assert words.hashes(pa.array([text * 9]))[0][:2999].tolist() == alone[:2999]
+    assert all((words.prints(h[7:], at[:2800], at[:2800] + 100)[i] == whole[i][7:2807]).all() for i in (0, 1))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 2), max_size=12), max_size=4), st.lists(st.integers(0, 2), max_size=15))
 def test_matching_statistics(sequences, query):
