@@ -23,7 +23,7 @@ MARKS = ",.;:!?"
 SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of texts that are cut into pieces at a time.
 AT_A_TIME = 4_000_000
-WORDS_OF_A_TEXT = 200
+PIECES_OF_A_TEXT = 200
 
 
 def _byte_characters() -> dict[int, str]:
@@ -47,6 +47,8 @@ class PieceEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.after_space = np.zeros(max(vocabulary.values()) + 1, bool)
         self.after_space[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.line_feed = np.zeros_like(self.after_space)
+        self.line_feed[[i for t, i in vocabulary.items() if t.startswith(self.characters[0x0A])]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -69,23 +71,21 @@ class PieceEncoder:
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _one(self, piece: str) -> list[int] | None:
-        """A piece stands for itself if it starts with a line feed, else for itself after a space. None: its ends aren't safe to cut at."""
-        rest = piece[1:] if piece[:1] == "\n" else piece
-        if not rest or rest[0].isspace() or rest[-1].isspace():
-            return None
+    def _one(self, piece: str) -> list[int]:
+        """A piece stands for itself if it starts with a line feed, else for itself after a space."""
         return self.tokenizer.encode(piece if piece[0] == "\n" else f" {piece}", add_special_tokens=False).ids
 
-    def _words(self, pieces: list[str]) -> None:
-        """Of words of Latin letters: each, after a space, is a single unit of the splitting pattern, so many are encoded as one text.
-        Its words are told apart by the tokens that begin with a space, which none but a word's first does."""
-        texts = [" " + " ".join(pieces[i : i + WORDS_OF_A_TEXT]) for i in range(0, len(pieces), WORDS_OF_A_TEXT)]
+    def _joined(self, pieces: list[str], before: str, opens: np.ndarray) -> None:
+        """Pieces that come after a space, or begin with a line feed, and have neither inside: many are encoded as one text, and told
+        apart by the tokens that begin with that sign (opens), as none but a piece's first does."""
+        texts = [before + before.join(pieces[i : i + PIECES_OF_A_TEXT]) for i in range(0, len(pieces), PIECES_OF_A_TEXT)]
         ids = np.array(list(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))), np.uint32)
-        first = np.flatnonzero(self.after_space[ids])
+        first = np.flatnonzero(opens[ids])
         if len(first) == len(pieces):
             self._store(pieces, ids, np.diff(first, append=len(ids)))
         else:
-            self._others(pieces)
+            each = list(map(self._one, pieces))
+            self._store(pieces, np.array(list(chain.from_iterable(each)), np.uint32), np.array(list(map(len, each)), np.int64))
 
     def _marked(self, pieces: list[str]) -> None:
         """Of known words with a mark after them."""
@@ -96,28 +96,23 @@ class PieceEncoder:
         ids[ends - 1] = [self.marks[p[-1]] for p in pieces]
         self._store(pieces, ids, sizes)
 
-    def _others(self, pieces: list[str]) -> None:
-        found = [self._one(p) for p in pieces]
-        ids = np.array(list(chain.from_iterable(f or () for f in found)), np.uint32)
-        self._store(pieces, ids, np.array([-1 if f is None else len(f) for f in found], np.int64))
-
     def _learn(self, pieces: list[str]) -> None:
-        words, marked, other = [], [], []
+        marked, plain, lines, unsafe = [], [], [], []
         for p in pieces:
-            if self._is_word(p):
-                words.append(p)
-            elif p[-1:] in self.marks and self._is_word(p[:-1]):
+            if not p or p == "\n" or p[-1].isspace() or (p[1] if p[0] == "\n" else p[0]).isspace():
+                unsafe.append(p)
+            elif p[0] == "\n":
+                lines.append(p)
+            # a mark ends what the splitting pattern takes with a Latin letter before it
+            elif p[-1] in self.marks and "A" <= p[-2:-1] < "ɐ" and p[:-1].isalpha():
                 marked.append(p)
             else:
-                other.append(p)
-        words += {p[:-1] for p in marked}.difference(self.known, words)
-        self._words(words)
+                plain.append(p)
+        plain += {p[:-1] for p in marked}.difference(self.known, plain)
+        self._joined(plain, " ", self.after_space)
+        self._joined(lines, "", self.line_feed)
         self._marked(marked)
-        self._others(other)
-
-    @staticmethod
-    def _is_word(piece: str) -> bool:
-        return piece.isalpha() and max(piece) < "ɐ"
+        self._store(unsafe, np.zeros(0, np.uint32), np.full(len(unsafe), -1))
 
     def _store(self, pieces: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         """lengths: -1 for pieces that aren't safe."""
@@ -138,10 +133,11 @@ class PieceEncoder:
         """pieces: each once, or known."""
         if len(self.known) > self.limit:
             self._keep_frequent()
-        index = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        index = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
         if len(new := np.flatnonzero(index < 0)):
-            self._learn(list({pieces[i]: None for i in new.tolist()}))
-            index[new] = np.fromiter((self.known[pieces[i]] for i in new.tolist()), np.int64, len(new))
+            fresh = [pieces[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(fresh)))
+            index[new] = [self.known[p] for p in fresh]
         np.add.at(self.asked, index, 1)
         return index
 
