@@ -2,10 +2,13 @@
 
 Documents with the same n-gram set are one class from the start; the least id stands for it. Representatives are hashed to bands of
 MinHash values; bands and rows are chosen such that a pair at the threshold shares a band with the target probability, and pairs above
-it more surely. Each representative is linked to the least one in each of its buckets, which gives candidate groups in a number of
-rows that is linear in bucket sizes. Groups are cut into blocks of ``BLOCK`` documents; every pair of blocks is a task of its own,
-that counts shared n-grams of all its pairs at once from the full sets. It returns, for each document, its number of links and the
-least document it is connected to in the task; pairs are never written out.
+it more surely. Within each bucket, sketches (a byte of each MinHash value) tell which pairs can be similar at all: pairs whose
+agreement is six standard errors below the threshold are not candidates, so documents that merely share a band do not chain groups
+together. Each bucket gives links to the least document of each of its parts, as many rows at most as it has documents; connected
+through these, candidates form groups. Groups are cut into blocks of ``BLOCK`` documents, and buckets into blocks of
+``SKETCH_BLOCK`` sketches; every pair of blocks is a task of its own. A task of a group counts shared n-grams of all its pairs at
+once from the full sets. It returns, for each document, its number of links and the least document it is connected to in the task;
+pairs are never written out. Within a group of documents that are truly alike, every pair is counted: that is what n_links says.
 
 N-grams are of words as they stand (runs of anything but U+0020 and U+0009 to U+000D), held as 64-bit hashes. A text of fewer than n
 words but one at least has itself as its only n-gram.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from siftwright.llm import graph, words
 from siftwright.llm.common import ship, stored, text_or_empty
 
-BLOCK = 128
+BLOCK, SKETCH_BLOCK = 128, 1024
 #: Up to this many candidate documents are broadcast to find their texts.
 BROADCAST_CANDIDATES = 500_000
 
@@ -58,9 +61,15 @@ def _sets(texts: pa.Array, n: int) -> list[np.ndarray]:
 
 
 def features(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 1) -> DataFrame:
-    """doc_id, print (digest of the n-gram set, null if it is empty), bands (hashes)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64()))])
-    factors = np.random.default_rng(seed).integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    """doc_id, print (digest of the n-gram set, null if it is empty), bands (hashes), sketch (the low byte of each MinHash value)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("print", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    factors = np.random.default_rng(seed).integers(0, 1 << 63, (bands * rows, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def permuted(grams: np.ndarray, f: np.ndarray) -> np.ndarray:
+        h = grams * f[0]
+        h ^= h >> np.uint64(32)
+        h *= f[1]
+        return h
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,20 +78,77 @@ def features(docs: DataFrame, n: int, bands: int, rows: int, seed: int = 1) -> D
                 full = [i for i, s in enumerate(sets) if len(s)]
                 prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 keys: list[list[int]] = [[] for _ in sets]
+                sketches: list[bytes | None] = [None] * len(sets)
                 if full:
                     grams = np.concatenate([sets[i] for i in full])
                     sizes = np.array([len(sets[i]) for i in full])
                     starts = np.cumsum(sizes) - sizes
-                    least = np.stack([np.minimum.reduceat(grams * f, starts) for f in factors], axis=1)
+                    least = np.stack([np.minimum.reduceat(permuted(grams, f), starts) for f in factors], axis=1)
                     at = np.arange(len(full) * bands) * rows
                     hashed = words.of_ranges(words.mix(least.ravel()), at, at + rows).reshape(-1, bands)
                     hashed = words.mix(hashed + np.arange(bands, dtype=np.uint64)).view(np.int64)
-                    for i, k in zip(full, hashed.tolist(), strict=True):
-                        keys[i] = k
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                    low = words.mix(least).astype(np.uint8)
+                    for i, k, x in zip(full, hashed.tolist(), low, strict=True):
+                        keys[i], sketches[i] = k, x.tobytes()
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema=schema)
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, print binary, bands array<long>")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, print binary, bands array<long>, sketch binary")
+
+
+def _agreement(sketches: np.ndarray) -> np.ndarray:
+    """In how many columns each two rows agree."""
+    out = np.zeros((len(sketches), len(sketches)), np.uint16)
+    for c in np.ascontiguousarray(sketches.T):
+        out += c[:, None] == c[None, :]
+    return out
+
+
+def candidates(reps: DataFrame, threshold: float, hashes: int) -> DataFrame:
+    """a, b: links of representatives (rep, bands, sketch) that share a band and whose sketches can be those of similar sets."""
+    need = int(np.floor(hashes * threshold - 6 * np.sqrt(hashes * threshold * (1 - threshold))))
+    keyed = reps.select("rep", F.explode("bands").alias("key"))
+    sizes = keyed.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int").alias("blocks"))
+    members = keyed.join(sizes, keyed["key"] == sizes["k"]).select("key", "rep", "blocks")
+    own = reps.select(F.col("rep").alias("r"), "sketch")
+    placed = members.join(own, members["rep"] == own["r"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    tasks = placed.withColumn("_o", other).select("key", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "rep", "sketch")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def parts(ids: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(ids) == 2:
+            yes = (sketches[0] == sketches[1]).sum() >= need
+            return (ids.max(keepdims=True), ids.min(keepdims=True)) if yes else (ids[:0], ids[:0])
+        roots = _roots(_agreement(sketches) >= need, ids)
+        linked = roots != ids
+        return ids[linked], roots[linked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def links(t: pa.Table) -> pa.RecordBatch:
+            key, i, j, ids = (t.column(c).to_numpy() for c in range(4))
+            sketches = np.frombuffer(b"".join(t.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            found = [parts(ids[s:e], sketches[s:e]) for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True) if e - s > 1]
+            a, b = (np.concatenate([f[x] for f in found]) if found else ids[:0] for x in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            key, i, j = (t.column(c).to_numpy() for c in range(3))
+            # the last bucket may go on in the next batch
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            if len(cuts):
+                yield links(t.slice(0, int(cuts[-1])))
+                t = t.slice(int(cuts[-1])).combine_chunks()
+            held = t
+        if held is not None and held.num_rows:
+            yield links(held)
+
+    return tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -178,11 +244,8 @@ def join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), recal
     that are similar to it, copies included), n_text_links (other n-gram sets), copies (rows with its n-gram set, itself included)."""
     bands, rows = bands_and_rows(threshold[0] / threshold[1], recall)
     seen = stored(features(docs, n, bands, rows))
-    reps = stored(seen.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by("bands", "doc_id").alias("bands")))
-    keyed = reps.select("rep", F.explode("bands").alias("key"))
-    least = keyed.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select(F.col("key").alias("k"), "least")
-    stars = keyed.join(least, keyed["key"] == least["k"]).filter("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
-    labels = graph.components(stars)
+    reps = stored(seen.filter("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("bands", "sketch"), "doc_id").alias("f")).select("print", "rep", "copies", "f.bands", "f.sketch"))
+    labels = graph.components(candidates(reps, threshold[0] / threshold[1], bands * rows))
     groups = stored(labels.join(reps.select("rep", "copies", "print"), labels["node"] == reps["rep"]).select("rep", "label", "copies", "print"))
     links = stored(verified(docs, groups, n, threshold))
     classes = graph.components(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("c_rep"), F.col("label").alias("class"))

@@ -240,8 +240,18 @@ def test_join_of_nothing_and_of_null_ids(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neardup.join(docs).collect()} == {None: (None, 0), 4: (4, 0)}
 
 
-def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
+def test_documents_that_only_share_bands_do_not_chain(spark):
+    rng = np.random.default_rng(2)
+    grams = [f"g{i}" for i in range(400)]
+    texts = [" ".join([*grams[k * 40 : k * 40 + 120], *rng.choice(grams, 40)]) for k in range(8)]
+    reps = neardup.features(frame(spark, texts), 5, 186, 1).selectExpr("doc_id AS rep", "bands", "sketch")
+    assert neardup.candidates(reps, 0.8, 186).count() == 0 and reps.selectExpr("explode(bands) AS k").groupBy("k").count().filter("count > 1").count() > 0
+
+
+@pytest.mark.parametrize("size", [4, 1024])
+def test_large_groups_are_cut_into_blocks(spark, monkeypatch, size):
     monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", size)
     base = [f"w{i}" for i in range(200)]
     texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 200, 10)]
     got = neardup.join(frame(spark, texts)).collect()
