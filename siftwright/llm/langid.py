@@ -5,8 +5,10 @@ those rows is the mask of all languages that have the n-gram. A text's n-grams a
 every language's popcount. A popcount of h among n grams contains false positives at the language's known rate f, the fill of its
 bits to the power of HASHES, so (h - n f) / (1 - f) estimates the grams truly known; the language with the most of them wins.
 
-The filter is fitted on at most ``per_language`` labelled documents of each language (those with the least hash of their id), and
-holds at most ``grams`` n-grams of each, so its size is bounded. Predictions see nothing but the text, and all of it.
+The filter is fitted on at most ``per_language`` labelled documents of each language (those with the least hash of their id), of the
+``most_languages`` languages with the most documents. An n-gram counts for a language if it makes up ``LEAST_SHARE`` of the sample's,
+and is at least a third as frequent there as in any other language. Masks are put together by aggregation; the driver receives the
+filter's rows, whose number does not depend on the corpus. Predictions see nothing but the text, and all of it.
 
 Defined cases: null text and text without a letter give "und" with score 0; documents without a language don't teach; without any
 labelled document all is "und"; ties go to the language that sorts first; repeated rows repeat; further columns are ignored.
@@ -23,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwright.llm.common import ship, text_or_empty
+from siftwright.llm.common import ship, stored, text_or_empty
 
 UNKNOWN = "und"
 ORDERS = (2, 3, 4)
 HASHES = 2
+#: Least share of an n-gram among those of its language's sample.
+LEAST_SHARE = 1e-6
 SPACE = 0x20
 AT_A_TIME = 500_000
 
@@ -97,13 +101,16 @@ class Model:
         f = self.false_rates
         return np.maximum((hits - n[:, None] * f) / np.maximum(1 - f, 1e-9), 0.0), n
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Language, score and lead of each text."""
         if not self.languages:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
+            return [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         known, n = self.known(texts)
         best = known.argmax(axis=1)
-        score = np.where(n > 0, known.max(axis=1) / np.maximum(n, 1), 0.0)
-        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], np.minimum(score, 1.0).tolist()
+        share = np.minimum(known / np.maximum(n, 1)[:, None], 1.0)
+        score = share.max(axis=1)
+        next_one = np.partition(share, -2, axis=1)[:, -2] if share.shape[1] > 1 else np.zeros(len(texts))
+        return [self.languages[b] if k else UNKNOWN for b, k in zip(best, n, strict=True)], score.tolist(), (score - next_one).tolist()
 
 
 def _in_parts(texts: list[str]) -> Iterator[list[str]]:
@@ -118,13 +125,28 @@ def _in_parts(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def fit(labelled: DataFrame, per_language: int = 1000, grams: int = 20_000, bits: int = 18) -> Model:
-    """labelled: doc_id, text, lang. The driver receives at most ``grams`` hashes for each language."""
-    spark = labelled.sparkSession
-    ship(spark)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang").withColumn("_k", rank).filter(F.col("_k") <= per_language).select("doc_id", "lang").distinct()
-    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
+def _sample(labelled: DataFrame, per_language: int, most_languages: int) -> DataFrame:
+    """lang, text of the documents to learn from.
+
+    Hashes of ids are counted in steps first, so that of a language only documents about as many as wanted are ranked."""
+    steps = 4096
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").withColumn("_hash", F.xxhash64("doc_id"))
+    step = F.pmod(F.shiftrightunsigned("_hash", 40), F.lit(steps))
+    counts = rows.groupBy("lang", step.alias("_step")).agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).select("lang")
+    before = Window.partitionBy("lang").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.join(F.broadcast(languages), "lang", "left_semi").withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # a row for each of most_languages
+    last = reached.filter(F.col("_before") < per_language).groupBy(F.col("lang").alias("_lang")).agg(F.max("_step").alias("_last"))
+    near = rows.join(F.broadcast(last), F.col("lang") == F.col("_lang")).filter(step <= F.col("_last"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(step, "_hash", "doc_id", F.xxhash64("text")))
+    return near.withColumn("_k", rank).filter(F.col("_k") <= per_language).select("lang", "text")
+
+
+def fit(labelled: DataFrame, per_language: int = 1000, most_languages: int = 256, bits: int = 20) -> Model:
+    """labelled: doc_id, text, lang. The driver receives a row for each language, and at most 2 ** bits for each eight of them."""
+    ship(labelled.sparkSession)
+    sample = _sample(labelled, per_language, most_languages)
 
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
 
@@ -140,37 +162,43 @@ def fit(labelled: DataFrame, per_language: int = 1000, grams: int = 20_000, bits
                     gram, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint32), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], schema=schema)
 
-    counts = sample.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("lang")))
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    top = counts.withColumn("_k", order).filter(F.col("_k") <= grams).select("lang", "gram", (F.col("n") / F.col("_all")).alias("p")).toPandas()
-    languages = sorted(top["lang"].unique())
+    counts = stored(sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("_all"))
+    languages = sorted(r["lang"] for r in totals.select("lang").collect())
     masks = np.zeros(((len(languages) + 7) // 8, 1 << bits), np.uint8)
-    # a language has an n-gram if it is at least a third as frequent there as anywhere
-    most = top.groupby("gram")["p"].transform("max")
-    for i, lang in enumerate(languages):
-        for rows in _rows(top.loc[(top["lang"] == lang) & (top["p"] * 3 >= most), "gram"].to_numpy().astype(np.uint32), bits):
-            masks[i // 8][rows] |= np.uint8(1 << i % 8)
+    if not languages:
+        return Model(languages, masks, bits)
+    numbers = labelled.sparkSession.createDataFrame(list(enumerate(languages)), "number int, _lang string")
+    shares = counts.join(F.broadcast(totals), "lang").withColumn("p", F.col("n") / F.col("_all")).filter(F.col("p") >= LEAST_SHARE)
+    most = F.max("p").over(Window.partitionBy("gram"))
+    own = shares.withColumn("_most", most).filter(F.col("p") * 3 >= F.col("_most")).join(F.broadcast(numbers), F.col("lang") == F.col("_lang"))
+    of_gram = own.select((F.col("number") / 8).cast("int").alias("slice"), "gram", F.expr("shiftleft(1, number % 8)").alias("mask")).groupBy("slice", "gram").agg(F.bit_or("mask").alias("mask"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in _rows(b.column(1).to_numpy().astype(np.uint32), bits):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(r.astype(np.int64)), b.column(2)], names=["slice", "row", "mask"])
+
+    found = of_gram.mapInArrow(rows, "slice int, row long, mask int").groupBy("slice", "row").agg(F.bit_or("mask").cast("short").alias("mask")).toArrow()
+    masks[found.column(0).to_numpy(), found.column(1).to_numpy()] = found.column(2).to_numpy().astype(np.uint8)
     return Model(languages, masks, bits)
 
 
-def predict(docs: DataFrame, model: Model, *keep: str | Column) -> DataFrame:
-    """The columns keep of docs (doc_id if none are named), with lang_pred and score."""
+def predict(docs: DataFrame, model: Model, *keep: str | Column, names: tuple[str, str, str] = ("lang_pred", "score", "lead")) -> DataFrame:
+    """The columns keep of docs (doc_id if none are named), with the language, the share of n-grams that it knows, and how much more than the next one's that is."""
     ship(docs.sparkSession)
     columns = docs.select(*(keep or ["doc_id"]), text_or_empty().alias("_text"))
     kept = columns.schema[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs: list[str] = []
-            scores: list[float] = []
+            found: tuple[list, ...] = ([], [], [])
             for part in _in_parts(b.column(b.num_columns - 1).to_pylist()):
-                x, y = model.predict(part)
-                langs += x
-                scores += y
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+                for all_of, some in zip(found, model.predict(part), strict=True):
+                    all_of += some
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found[0], pa.string()), *(pa.array(x, pa.float64()) for x in found[1:])], names=[*b.schema.names[:-1], *names])
 
     from pyspark.sql import types as T
 
-    out = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    out = T.StructType([*kept, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.DoubleType())])
     return columns.mapInArrow(run, out)

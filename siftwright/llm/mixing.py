@@ -10,7 +10,7 @@ in that step are taken in part, later ones not at all.
 
 Defined cases: null text has size 0; a null source is a source of its own and comes last; sources of size 0 have target 0, and
 their documents take 0; repeated rows count as rows, and rows of one id are taken alike; an empty table gives an empty result.
-Only doc_id, source and text are read. Words are runs of anything but U+0020 and U+0009 to U+000D.
+Only doc_id, source and text are read; columns added on the way begin with _mix_. Words are runs of anything but U+0020 and U+0009 to U+000D.
 """
 
 from __future__ import annotations
@@ -52,12 +52,12 @@ def bucket(seed: int) -> Column:
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.withColumn("_size", size).withColumn("_step", bucket(seed))
+    return docs.withColumn("_mix_size", size).withColumn("_mix_step", bucket(seed))
 
 
 def _plan(rows: DataFrame, share: float, max_epochs: float, weights: tuple[int, ...]) -> DataFrame:
     """For each source: source_size, target, repeats, and the step and part of it at which its fractional share ends. rows: source, _size, _step."""
-    steps = stored(rows.groupBy("source", "_step").agg(F.sum("_size").alias("step_size")))
+    steps = stored(rows.groupBy("source", "_mix_step").agg(F.sum("_mix_size").alias("step_size")))
     sources = steps.groupBy("source").agg(F.sum("step_size").alias("source_size"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights) + 1).cast("int"))
@@ -66,25 +66,25 @@ def _plan(rows: DataFrame, share: float, max_epochs: float, weights: tuple[int,
     filled = water_fill(sources, budget, max_epochs, ["source"])
     filled = filled.withColumn("_epochs", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_epochs)))).otherwise(0.0))
     filled = filled.withColumn("repeats", F.floor("_epochs").cast("long")).withColumn("_need", (F.col("_epochs") - F.floor("_epochs")) * F.col("source_size"))
-    w = Window.partitionBy("source").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("source").orderBy("_mix_step").rowsBetween(Window.unboundedPreceding, -1)
     cut = steps.withColumn("_before", F.coalesce(F.sum("step_size").over(w), F.lit(0))).alias("s").join(filled.alias("f"), F.expr("s.source <=> f.source"))
     part = (F.col("_need") - F.col("_before")) / F.col("step_size")
-    cut = cut.filter((F.col("step_size") > 0) & (part >= 0) & (part < 1)).select(F.col("f.source").alias("source"), F.col("_step").alias("_cut"), part.alias("_part"))
-    return stored(filled.alias("f").join(cut.alias("c"), F.expr("f.source <=> c.source"), "left").select(F.col("f.source").alias("_source"), "source_size", "target", "repeats", "_cut", "_part"))
+    cut = cut.filter((F.col("step_size") > 0) & (part >= 0) & (part < 1)).select(F.col("f.source").alias("source"), F.col("_mix_step").alias("_mix_cut"), part.alias("_mix_part"))
+    return stored(filled.alias("f").join(cut.alias("c"), F.expr("f.source <=> c.source"), "left").select(F.col("f.source").alias("_mix_source"), *(F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "repeats")), "_mix_cut", "_mix_part"))
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """rows with their source's plan and _extra, the words of one more, fractional repetition."""
     small = plan.count() <= BROADCAST_SOURCES
-    extra = F.when(F.col("_cut").isNull() | (F.col("_step") > F.col("_cut")), F.lit(0)).when(F.col("_step") < F.col("_cut"), F.col("_size")).otherwise(F.floor(F.col("_size") * F.col("_part")))
-    return rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("_source")), "left").withColumn("_extra", extra.cast("long"))
+    extra = F.when(F.col("_mix_cut").isNull() | (F.col("_mix_step") > F.col("_mix_cut")), F.lit(0)).when(F.col("_mix_step") < F.col("_mix_cut"), F.col("_mix_size")).otherwise(F.floor(F.col("_mix_size") * F.col("_mix_part")))
+    return rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("_mix_source")), "left").withColumn("_mix_extra", extra.cast("long"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
     """doc_id, source, size, source_size, target, repeats (whole), taken (words, repeats counted) for each row of docs."""
     rows = stored(_sized(docs.select("doc_id", "source", "text"), seed).drop("text"))
     joined = _with_plan(rows, _plan(rows, share, max_epochs, weights))
-    return joined.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", "repeats", (F.col("repeats") * F.col("_size") + F.col("_extra")).alias("taken"))
+    return joined.select("doc_id", "source", F.col("_mix_size").alias("size"), *(F.col(f"_mix_{c}").alias(c) for c in ("source_size", "target", "repeats")), (F.col("_mix_repeats") * F.col("_mix_size") + F.col("_mix_extra")).alias("taken"))
 
 
 def mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
@@ -92,11 +92,11 @@ def mixed(docs: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights:
 
     Documents without words come once if their source is taken at all."""
     rows = _sized(docs, seed)
-    joined = _with_plan(rows, _plan(rows.select("source", "_size", "_step"), share, max_epochs, weights))
-    whole = (F.col("repeats") + F.when((F.col("_extra") == F.col("_size")) & ((F.col("_size") > 0) | (F.col("repeats") == 0)), 1).otherwise(0)).cast("int")
-    part = F.when((F.col("_extra") > 0) & (F.col("_extra") < F.col("_size")), F.col("_extra"))
+    joined = _with_plan(rows, _plan(rows.select("source", "_mix_size", "_mix_step"), share, max_epochs, weights))
+    whole = (F.col("_mix_repeats") + F.when((F.col("_mix_extra") == F.col("_mix_size")) & ((F.col("_mix_size") > 0) | (F.col("_mix_repeats") == 0)), 1).otherwise(0)).cast("int")
+    part = F.when((F.col("_mix_extra") > 0) & (F.col("_mix_extra") < F.col("_mix_size")), F.col("_mix_extra"))
     takes = F.concat(F.array_repeat(F.lit(None).cast("long"), whole), F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("_words", F.explode(takes))
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{WS}]*{WORD}"), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    out = out.withColumn("text", F.when(F.col("_words").isNull(), F.col("text")).otherwise(first))
+    out = joined.withColumn("_mix_words", F.explode(takes))
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[{WS}]*{WORD}"), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), "")
+    out = out.withColumn("text", F.when(F.col("_mix_words").isNull(), F.col("text")).otherwise(first))
     return out.select(*docs.columns)

@@ -4,9 +4,11 @@ Base rules find plain e-mail addresses, IPv4 addresses, card numbers and phone n
 normal form, remembering for each character it writes the span of source characters it stands for: homoglyphs and full-width forms
 become ASCII, zero-width characters vanish, spelled digits become digits, and spelled or bracketed "at" and "dot" become "@" and
 ".". The same rules run over the normal form; what they find is mapped back to source characters, and kept as a further span if it
-overlaps no base span, or goes beyond those it overlaps.
+overlaps no base span, or goes beyond those it overlaps. A spelled address counts if its last label is one of ``TOP_DOMAINS``, of which
+the longest chain of labels is taken: with other endings, "at" and "dot" are prose as a rule.
 
-Spans count code points of the original, end exclusive. Rules run over whole texts in linear time.
+Spans count code points of the original, end exclusive. Rules run over whole texts in linear time: a pattern begins at a rare sign, or at
+the start of a word, and addresses are read outwards from their "at".
 
 Defined cases: null text counts as empty and has no spans; rows are judged one by one, so repeated rows repeat; an empty table gives
 an empty result; further columns are ignored.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -99,10 +102,13 @@ DIGIT_NAMES = {
 }
 AT_NAMES = "at|arroba|arobase|chez|ät"
 DOT_NAMES = "dot|punto|point|punkt|period"
-TOP_DOMAINS = "com|org|net|edu|gov|info|biz|io|co|dev|app|me|us|uk|de|fr|es|it|eu|ch|at|nl|be|ca|au|example|test|invalid"
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz io co dev app xyz online me us uk de fr es it eu ch at nl be ca au pl ru se dk fi cz jp cn br mx ar cl pt gr tr ie nz za kr ua hu ro sk si hr rs bg lt lv ee lu il sg hk tw th vn ph my example test invalid".split()
+)
 
 _GLYPH = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + INVISIBLE + "]")
-_RUN = re.compile(r"[^\x20\x09-\x0D]*[" + re.escape("".join(HOMOGLYPHS)) + INVISIBLE + r"][^\x20\x09-\x0D]*")
+#: A word with such a sign, tried at its start only.
+_RUN = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*?[" + re.escape("".join(HOMOGLYPHS)) + INVISIBLE + r"][^\x20\x09-\x0D]*")
 _NAME = "(?:" + "|".join(sorted(DIGIT_NAMES, key=len, reverse=True)) + ")"
 #: Names of digits and digits, with what may stand between them.
 _SPELLED = re.compile(rf"(?<!\w)(?:{_NAME}|[0-9]+)(?:(?:[ ,-]|, | ?\(?(?:{DOT_NAMES})\)? ?|\.)(?:{_NAME}|[0-9]+)(?!\w))+", re.I)
@@ -110,14 +116,15 @@ _SPELLED = re.compile(rf"(?<!\w)(?:{_NAME}|[0-9]+)(?:(?:[ ,-]|, | ?\(?(?:{DOT_NA
 _TELLING = frozenset(DIGIT_NAMES) - {"un", "uno", "oh", "null"}
 _PARTS = str.maketrans(dict.fromkeys(",.-()", " "))
 _SEPARATOR = r"[\x20\t]*"
-_BRACKETED = lambda names: rf"{_SEPARATOR}[\[({{<]{_SEPARATOR}(?:{names}|@|\.){_SEPARATOR}[\])}}>]{_SEPARATOR}"
-_AT_BRACKET = re.compile(_BRACKETED(AT_NAMES + "|@").replace(r"|\.", ""), re.I)
-_DOT_BRACKET = re.compile(_BRACKETED(DOT_NAMES).replace("|@|", "|"), re.I)
-_LABEL = r"[A-Za-z0-9][A-Za-z0-9_-]*"
-#: A spelled address ends in a known top domain. With a spelled "at", a "dot" must be spelled too: prose has "at" before any word.
-_END = rf"(?:{TOP_DOMAINS})(?![\w@])"
-_SPELLED_MAIL = re.compile(rf"(?<![\w.%+-])({_LABEL}(?:(?:\.| (?:{DOT_NAMES}) ){_LABEL})*)( (?:{AT_NAMES}) |@)({_LABEL}(?:(?:\.| (?:{DOT_NAMES}) ){_LABEL})*? (?:{DOT_NAMES}) {_END})", re.I)
-_SPACED_MAIL = re.compile(rf"(?<![\w.%+-])({_LABEL}(?:\.{_LABEL})*)( ?@ ?)({_LABEL}(?: ?\. ?{_LABEL})*? ?\. ?{_END})", re.I)
+#: From the bracket on; white space before it is added to what is found.
+_BRACKETED = lambda names: re.compile(rf"[\[({{<]{_SEPARATOR}(?:{names}){_SEPARATOR}[\])}}>]{_SEPARATOR}", re.I)
+_AT_BRACKET, _DOT_BRACKET = _BRACKETED(AT_NAMES + "|@"), _BRACKETED(DOT_NAMES + r"|\.")
+_LABEL = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
+#: With a spelled "at", the last "dot" must be spelled too: prose has "at" before any word.
+_SPELLED_AT, _SPELLED_DOT = re.compile(rf" (?:{AT_NAMES}) |@", re.I), re.compile(rf"\.| (?:{DOT_NAMES}) ", re.I)
+_SPACED_AT, _SPACED_DOT = re.compile(" ?@ ?"), re.compile(r" ?\. ?")
+_DOT_BEFORE = re.compile(rf"(?:\.| (?:{DOT_NAMES}) )\Z", re.I)
+_LABEL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _DOT_WORD = re.compile(rf" (?:{DOT_NAMES}) | ?\. ?", re.I)
 #: Digits with spelled dots.
 _DOT_NUMBER = re.compile(rf"(?<=[0-9]) (?:{DOT_NAMES}) (?=[0-9])", re.I)
@@ -153,8 +160,6 @@ class Normal:
 
     def source(self, start: int, end: int) -> tuple[int, int]:
         """Source characters of a span of the present text."""
-        from bisect import bisect_right
-
         for news, olds, shifts in reversed(self.layers):
             def back(at: int, is_end: bool, news: list = news, olds: list = olds, shifts: list = shifts) -> int:
                 i = bisect_right(news, at) - 1
@@ -175,12 +180,64 @@ class Normal:
 
     @staticmethod
     def _ends_at_edit(end: int, news: list, olds: list, shifts: list) -> bool:
-        from bisect import bisect_left
-
         i = bisect_left(olds, end) - 1
         return i >= 0 and shifts[i][0] != shifts[i][1] and olds[i] + shifts[i][0] == end
 
 
+def _with_space_before(found: Iterator[re.Match], text: str, new: str) -> list[tuple[int, int, str]]:
+    edits, free = [], 0
+    for m in found:
+        start = m.start()
+        while start > free and text[start - 1] in " \t":
+            start -= 1
+        edits.append((start, m.end(), new))
+        free = m.end()
+    return edits
+
+
+def _domain_end(text: str, at: int, dot: re.Pattern, spelled: bool) -> int:
+    """End of the longest chain of labels from at on that ends in a top domain after a dot (a spelled one, if spelled); -1: none."""
+    label, end = _LABEL.match(text, at), -1
+    while label:
+        sign = dot.match(text, label.end())
+        label = _LABEL.match(text, sign.end()) if sign else None
+        after = text[label.end() : label.end() + 1] if label else ""
+        if label and label[0].lower() in TOP_DOMAINS and (not spelled or sign[0] != ".") and after != "@" and not after.isalnum():
+            end = label.end()
+    return end
+
+
+def _local_start(text: str, end: int, floor: int, spelled: bool) -> int:
+    """Start of the longest chain of labels that ends at end and begins at floor or later, after no sign of an address; -1: none."""
+    start, best = end, -1
+    while True:
+        last = start
+        while start > floor and text[start - 1] in _LABEL_SIGNS:
+            start -= 1
+        if start == last or text[start] in "_-":
+            return best
+        if start == 0 or not (text[start - 1] in ".%+-_" or text[start - 1].isalnum()):
+            best = start
+        m = _DOT_BEFORE.search(text, max(floor, start - 9), start) if spelled or text[start - 1 : start] == "." else None
+        if not m:
+            return best
+        start = m.start()
+
+
+def _addresses(text: str, sign: re.Pattern, dot: re.Pattern, spelled: bool) -> list[tuple[int, int, str]]:
+    """Edits that turn disguised addresses into plain ones: each is read outwards from its sign."""
+    edits, free = [], 0
+    for m in sign.finditer(text):
+        end = _domain_end(text, m.end(), dot, spelled) if m.start() > free else -1
+        start = _local_start(text, m.start(), free, spelled) if end >= 0 else -1
+        if start < 0:
+            continue
+        found = [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(text, start, m.start())] + [(*m.span(), "@")] + [(d.start(), d.end(), ".") for d in _DOT_WORD.finditer(text, m.end(), end)]
+        edits += [(s, e, new) for s, e, new in found if text[s:e] != new]
+        free = end
+    return edits
+
+
 def _digits(m: re.Match) -> list[tuple[int, int, str]]:
     """The words of a spelled number, each to its digit, and separators of single digits away, so that the digits are joined."""
     text, base = m[0], m.start()
@@ -212,21 +269,29 @@ def normalised(text: str) -> Normal | None:
         form.replace([e for m in _SPELLED.finditer(form.text) for e in _digits(m)])
         form.replace([(m.start(), m.end(), "+") for m in re.finditer(r"(?<!\w)plus[ -]?(?=[0-9])", form.text, re.I)])
     if any(c in low for c in "[({<"):
-        form.replace([(m.start(), m.end(), "@") for m in _AT_BRACKET.finditer(form.text)])
-        form.replace([(m.start(), m.end(), ".") for m in _DOT_BRACKET.finditer(form.text)])
-    patterns = [_SPELLED_MAIL] if any(n in low for n in _DOT_HINTS) else []
-    for pattern in patterns + [_SPACED_MAIL] * (" @" in form.text or "@ " in form.text or "@" in form.text and " ." in form.text):
-        edits = []
-        for m in pattern.finditer(form.text):
-            for part, sign in ((1, "."), (2, "@"), (3, ".")):
-                found = [m.span(2)] if part == 2 else [(m.start(part) + d.start(), m.start(part) + d.end()) for d in _DOT_WORD.finditer(m[part])]
-                edits += [(s, e, sign) for s, e in found if form.text[s:e] != sign]
-        form.replace(edits)
-    if patterns:
+        form.replace(_with_space_before(_AT_BRACKET.finditer(form.text), form.text, "@"))
+        form.replace(_with_space_before(_DOT_BRACKET.finditer(form.text), form.text, "."))
+    hinted = any(n in low for n in _DOT_HINTS)
+    if hinted:
+        form.replace(_addresses(form.text, _SPELLED_AT, _SPELLED_DOT, True))
+    if " @" in form.text or "@ " in form.text or "@" in form.text and " ." in form.text:
+        form.replace(_addresses(form.text, _SPACED_AT, _SPACED_DOT, False))
+    if hinted:
         form.replace([(m.start(), m.end(), ".") for m in _DOT_NUMBER.finditer(form.text)])
     return form if form.layers else None
 
 
+def _goes_beyond(taken: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether a to b overlaps nothing in taken, or holds all it overlaps and is longer."""
+    i = bisect_right(taken, (a, a))
+    i -= i > 0 and taken[i - 1][1] > a
+    while i < len(taken) and taken[i][0] < b:
+        if not (a <= taken[i][0] and taken[i][1] <= b and (a, b) != taken[i]):
+            return False
+        i += 1
+    return True
+
+
 def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans, and all spans."""
     base = plain(text)
@@ -235,13 +300,14 @@ def spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, i
         return base, base
     if len(base) == len(plain_again := plain(form.text)) == 0:
         return base, base
-    taken = sorted((s, e) for _, s, e in base)
+    # of one kind, spans come in order and apart from each other
+    taken = [[(s, e) for k, s, e in found if k == kind] for found in (base, ()) for kind in KINDS]
     more = []
     for kind, s, e in plain_again:
         a, b = form.source(s, e)
-        if all(b <= x or y <= a or a <= x and y <= b and (a, b) != (x, y) for x, y in taken):
+        if all(_goes_beyond(spans_, a, b) for spans_ in taken):
             more.append((kind, a, b))
-            taken.append((a, b))
+            taken[len(KINDS) + KINDS.index(kind)].append((a, b))
     return base, sorted(base + more, key=lambda x: (KINDS.index(x[0]), x[1]))
 
 
