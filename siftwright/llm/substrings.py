@@ -261,7 +261,7 @@ def _through_automata(shards: DataFrame, span: int) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor, automaton = None, SuffixAutomaton()
         for b in batches:
-            docs, places, hashed = [], [], []
+            docs, places, firsts, sequences, size = [], [], [], [], 0
             for a, doc, pos, body in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc_id", "pos", "words")), strict=True):
                 if a != anchor:
                     anchor, automaton = a, SuffixAutomaton()
@@ -272,10 +272,13 @@ def _through_automata(shards: DataFrame, span: int) -> DataFrame:
                 if len(found):
                     docs.append(np.full(len(found), doc, np.int64))
                     places.append(pos + found)
-                    hashed.append(words.prints(sequence, found, found + span)[0].view(np.int64))
+                    firsts.append(size + found)
+                    sequences.append(sequence)
+                    size += len(sequence)
             if docs:
-                where = np.concatenate(places).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(where), pa.array(np.ones(len(where), np.int32)), pa.array(np.concatenate(hashed))], schema=_FOUND)
+                where, at = np.concatenate(places).astype(np.int32), np.concatenate(firsts)
+                hashed = words.prints(np.concatenate(sequences), at, at + span)[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(where), pa.array(np.ones(len(where), np.int32)), pa.array(hashed)], schema=_FOUND)
 
     dealt = shards.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "pos")
     return dealt.mapInArrow(stream, FOUND)

@@ -58,12 +58,13 @@ def _sums(values: np.ndarray, point: int, places: np.ndarray) -> np.ndarray:
     ordered = places if order is None else places[order]
     for lo in range(0, len(values), GROUP):
         some = values[lo : lo + GROUP]
-        grid = np.zeros(-(-len(some) // BLOCK) * BLOCK, np.uint64)
+        width = min(BLOCK, len(some))
+        grid = np.zeros(-(-len(some) // width) * width, np.uint64)
         grid[: len(some)] = some
         if values.dtype == np.uint8:
             grid[: len(some)] += np.uint64(1)
-        grid = grid.reshape(-1, BLOCK)
-        grid *= up
+        grid = grid.reshape(-1, width)
+        grid *= up[:width]
         if values.dtype != np.uint8:
             grid %= PRIME
         np.cumsum(grid, axis=1, out=grid)
@@ -78,7 +79,7 @@ def _sums(values: np.ndarray, point: int, places: np.ndarray) -> np.ndarray:
             a, z = np.searchsorted(ordered, [lo + 1, lo + len(some) + 1])
             mine = order[a:z]
         last = places[mine] - (lo + 1)
-        block = last // BLOCK
+        block = last // width
         out[mine] = (offsets[block] + factors[block] * (grid.reshape(-1)[last] % PRIME)) % PRIME
     return out
 
