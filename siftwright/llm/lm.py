@@ -1,7 +1,8 @@
 """Scoring texts with a log-bilinear language model trained by noise-contrastive estimation.
 
 Tokens are words, with A to Z in lower case, and an end after each text. The vocabulary is every token counted ``LEAST`` times or
-more, so it grows with the corpus, and the ``HEAD`` most frequent in any case. Each of its words has a vector as context and one as
+more (from 100 million tokens on, a hundredth of the square root of their number), so it grows with the corpus but fits every worker,
+and the ``HEAD`` most frequent in any case. Each of its words has a vector as context and one as
 output. The two tokens before give the predicted vector, the sum of their vectors scaled by position; its product with an output's
 vector, plus a bias, is the output's score. Probabilities are normalised in two steps: over the ``HEAD`` most frequent tokens, classes
 of the other words of the vocabulary by frequency (about the square root of their number) and ``TAIL`` classes, by last byte, of all
@@ -35,8 +36,11 @@ HEAD, TAIL, KNOWN = 128, 32, 100_000
 #: The end's hash.
 END = np.uint64(1)
 DIM = 32
-#: Least count of a word with vectors of its own; texts of the pilot; shares of the texts between averages.
-LEAST, PILOT, ROUNDS = 100, 2_000, 2
+#: Least count of a word with vectors of its own, and its share of the square root of the corpus's tokens if that is more; texts of
+#: the pilot; shares of the texts between averages.
+LEAST, OF_ROOT, PILOT, ROUNDS = 100, 0.01, 2_000, 2
+#: Tokens of a task's share, as a task that learns longer passes on fewer changes for each token; tasks at least.
+TASK, TASKS = 8_000_000, 4
 #: Tokens that a task holds and shuffles; tokens of a step; a small corpus is repeated until about so many tokens are seen, AT_MOST times.
 CHUNK, BATCH, ENOUGH, AT_MOST = 131_072, 2_048, 10_000_000, 12
 #: Rows of parameters that travel together.
@@ -340,20 +344,22 @@ def start(pilot: dict[str, np.ndarray], outputs: Outputs, counts: np.ndarray, ta
     return m
 
 
-def improve(model: Model, docs: DataFrame, repeat: int) -> None:
-    """One round: tasks learn from all rows of docs, beginning with the model; it takes the weighted mean of their changes."""
+def improve(model: Model, docs: DataFrame, repeat: int, tasks: int) -> None:
+    """One round: at most this many tasks learn from all rows of docs, beginning with the model; it takes the weighted mean of their changes."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     width = DIM + 1
     schema = pa.schema([("block", pa.int64()), ("n", pa.binary()), ("change", pa.binary())])
 
-    def row(block: int, n: np.ndarray, change: np.ndarray) -> pa.RecordBatch:
-        """Of a block, how often each row was touched, and the mean changes of those that were: half precision is 0.05 % of a change."""
-        return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([n.astype(np.int64).tobytes()]), pa.array([change[n > 0].astype(np.float16).tobytes()])], schema=schema)
+    def rows(blocks: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Of each block, how often each row was touched, and the mean changes of those that were: half precision is 0.05 % of a change."""
+        for lo in range(0, len(blocks), 256):
+            at, n, change = zip(*blocks[lo : lo + 256], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([x.astype(np.int64).tobytes() for x in n]), pa.array([c[x > 0].astype(np.float16).tobytes() for x, c in zip(n, change, strict=True)])], schema=schema)
 
     def full(n: bytes, change: bytes) -> tuple[np.ndarray, np.ndarray]:
         times = np.frombuffer(n, np.int64)
-        out = np.zeros((len(times), width))
+        out = np.zeros((len(times), width), np.float32)
         out[times > 0] = np.frombuffer(change, np.float16).reshape(-1, width)
         return times, out
 
@@ -379,25 +385,26 @@ def improve(model: Model, docs: DataFrame, repeat: int) -> None:
 
         hits = own.learn(triples(), repeat, np.random.default_rng(TaskContext.get().partitionId()))
         change = own.values - begin.values
-        for block in range(0, len(hits), BLOCK):
-            if hits[block : block + BLOCK].any():
-                yield row(block, hits[block : block + BLOCK], change[block : block + BLOCK])
+        yield from rows([(i, hits[i : i + BLOCK], change[i : i + BLOCK]) for i in range(0, len(hits), BLOCK) if hits[i : i + BLOCK].any()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, n, change = None, np.zeros(0), np.zeros(0)
+        done: list[tuple[int, np.ndarray, np.ndarray]] = []
         for b in batches:
             for block, some, more in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
                 if block != key:
                     if key is not None:
-                        yield row(key, n, change / np.maximum(n, 1)[:, None])
+                        done.append((key, n, change / np.maximum(n, 1)[:, None]))
                     key, n, change = block, 0, 0.0
                 times, moves = full(some.as_py(), more.as_py())
                 n, change = n + times, change + moves * times[:, None]
+            yield from rows(done)
+            done = []
         if key is not None:
-            yield row(key, n, change / np.maximum(n, 1)[:, None])
+            yield from rows([(key, n, change / np.maximum(n, 1)[:, None])])
 
     kind = "block long, n binary, change binary"
-    moved = docs.select(text_or_empty().alias("text")).mapInArrow(run, kind)
+    moved = docs.select(text_or_empty().alias("text")).coalesce(tasks).mapInArrow(run, kind)
     for b in moved.repartition("block").sortWithinPartitions("block").mapInArrow(add, kind).toArrow().to_batches():
         for block, n, change in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
             model.values[block : block + BLOCK] += full(n.as_py(), change.as_py())[1].astype(np.float32)
@@ -415,7 +422,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     # the end first, then words by count: all of LEAST and more, HEAD - 1 at least
     end = F.col("h") == int(END)
-    own = counted.filter(~end & (F.col("n") >= LEAST)).toPandas()
+    own = counted.filter(~end & (F.col("n") >= max(LEAST, OF_ROOT * n_all**0.5))).toPandas()
     if len(own) < HEAD - 1:
         own = top[top["h"] != int(END)][: HEAD - 1]
     own = own.sort_values(["n", "h"], ascending=[False, True])
@@ -439,7 +446,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         model = start(fit(triples[order], times[order].astype(np.float64), outputs.size), outputs, own_counts, class_n)
         del counted_triples, triples, times, order
         for r in range(ROUNDS):
-            improve(model, training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), max(1, min(AT_MOST, ENOUGH // n_all)))
+            improve(model, training.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == r), max(1, min(AT_MOST, ENOUGH // n_all)), max(TASKS, -(-n_all // (ROUNDS * TASK))))
     else:
         model = None
     log_class = np.log10(class_n + 0.5 * (class_v + 1))
