@@ -44,8 +44,8 @@ def header_score(row: list[str], below: list[str] | None) -> float:
     if len(filled) < 2:
         return -1.0
     share = lambda test: sum(map(bool, map(test, filled))) / len(filled)
-    score = 0.4 * share(lambda c: not re.fullmatch(r"[-+$]?[\d.,]+%?", c)) + 0.2 * share(lambda c: len(c) <= 40)
-    score += 0.2 * len(set(filled)) / len(filled) + 0.2 * len(filled) / len(row)
+    score = 0.4 * share(lambda c: not re.fullmatch(r"[\d.,%$/-]+", c)) + 0.2 * share(lambda c: len(c) <= 40)
+    score += 0.2 * len({c.lower() for c in filled}) / len(filled) + 0.2 * len(filled) / len(row)
     return score + (0.1 if below and any(c and c.strip() for c in below) else 0.0)
 
 
@@ -57,11 +57,11 @@ def header_row(rows: list[list[str]], scan: int = 12) -> int:
 
 
 def distinct_names(names: list[str]) -> list[str]:
-    """Blank names become column_<i>; a repeated one gets _1, _2 and so on."""
+    """Blank names become column_<i>, counted from 1; a repeated one gets _1, _2 and so on."""
     seen: Counter = Counter()
     out = []
     for i, n in enumerate(names):
-        n = (n or "").strip() or f"column_{i}"
+        n = (n or "").strip() or f"column_{i + 1}"
         out.append(n if not seen[n] else f"{n}_{seen[n]}")
         seen[n] += 1
     return out
@@ -74,20 +74,28 @@ def _table(numbered: DataFrame, names: list[str]) -> DataFrame:
     return numbered.filter(filled).select("row_id", *cells)
 
 
-def read_delimited(spark: SparkSession, path: str, header: int | None = None) -> DataFrame:
-    """row_id (order in the file) and all columns as strings.
-
-    Rows keep their order by file offset: partitions are file ranges, and row_id grows within and across them."""
-    head = [r["value"].lstrip("﻿") for r in spark.read.text(path).limit(40).collect()]
-    sep = separator("\n".join(head), path.rstrip("/").lower())
-    first = list(csv.reader(head, delimiter=sep))
-    at = header_row(first) if header is None else header
-    width = max([len(r) for r in first] or [1])
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
-    raw = spark.read.schema(schema).option("sep", sep).option("multiLine", False).option("encoding", "UTF-8").option("ignoreLeadingWhiteSpace", False).csv(path)
-    names = distinct_names(first[at]) if first else []
+def read_delimited(spark: SparkSession, path: str, header: int | None = None, line_breaks: bool = True) -> DataFrame:
+    """row_id (order in the file) and all columns as strings. Cells may hold separators, doubled quotes and line breaks if they are quoted.
+
+    header: which line of the file, blank ones counted, is the header; else it is found. With line_breaks False a quoted cell must end
+    on its line, and large files are split over tasks; else a file is read by one task. row_id grows within and across partitions,
+    which are files or ranges of them."""
+    text = "\n".join(r["value"] for r in spark.read.text(path).limit(200).collect()).lstrip("\ufeff")
+    sep = separator(text, path.rstrip("/").lower())
+    first = list(csv.reader(io.StringIO(text, newline=""), delimiter=sep))
+    if not first:
+        return spark.createDataFrame([], "row_id long")
+    head = first[header_row(first) if header is None else header]
+    names = distinct_names(head)
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": line_breaks, "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw = spark.read.schema(schema).options(**options).csv(path)
     numbered = raw.select(F.monotonically_increasing_id().alias("row_id"), F.array(*raw.columns).alias("cells"))
-    # the file's first rows are the first of the first partition
+    # the reader leaves out empty lines, so the header is found again among its rows, the first of the first partition
+    sample = numbered.limit(len(first)).collect()
+    same = lambda cells: [(c or "").lstrip("\ufeff").strip() for c in cells] == [c.strip() for c in head]
+    before = sum(map(bool, first[:header])) if header is not None else 0
+    at = next((r["row_id"] for i, r in enumerate(sample) if i >= before and same(r["cells"])), -1)
     return _table(numbered.filter(F.col("row_id") > at), names)
 
 
@@ -163,9 +171,11 @@ def as_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def write_delimited(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Delimited text, a header in each part. The first header name starts with a byte order mark, for spreadsheet programs."""
+    """Delimited text. The header, after a byte order mark for spreadsheet programs, is the first part alone, so that the parts, one
+    after the other, are one file."""
     out = as_text(df, columns)
-    out.toDF("﻿" + columns[0], *columns[1:]).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    head = df.sparkSession.createDataFrame([("\ufeff" + columns[0], *columns[1:])], out.schema).coalesce(1)
+    head.union(out).write.mode("overwrite").options(header=False, emptyValue="", escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 _CONTROL = re.compile("[\x00-\x08\x0b-\x1f]")
