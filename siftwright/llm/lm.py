@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from siftwright.llm import words
 from siftwright.llm.common import ship, stored, text_or_empty
 
-HEAD, TAIL, KNOWN = 128, 32, 100_000
+HEAD, TAIL, KNOWN = 32, 32, 100_000
 #: The end's hash.
 END = np.uint64(1)
 DIM = 32
@@ -114,8 +114,17 @@ class Outputs:
     def __post_init__(self) -> None:
         self.order = np.argsort(self.vocabulary)
         self.ordered = self.vocabulary[self.order]
+        # by the top bits of a hash, where those with it begin; so few have the same that each is looked at
+        bits = max(8, int(len(self.vocabulary)).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.ordered >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.first).max())
         words = len(self.vocabulary) - self.heads
-        n = int(np.ceil(words**0.5))
+        # what a token costs is the number of outputs and the size of its class
+        n = int(np.ceil(0.65 * words**0.5))
+        # all of the vocabulary are known
+        at = np.minimum(np.searchsorted(self.known, self.vocabulary), max(len(self.known) - 1, 0))
+        self.own_counts = self.counts[at] if len(self.known) else np.zeros(len(self.vocabulary), np.int64)
         # frequent words are in small classes
         self.edges = np.unique(np.ceil(words * (np.arange(n + 1) / max(n, 1)) ** 2).astype(np.int64)) if words else np.zeros(1, np.int64)
 
@@ -129,20 +138,33 @@ class Outputs:
 
     def place(self, tokens: np.ndarray, tails: np.ndarray) -> np.ndarray:
         """Rank in the vocabulary; for rarer words the size of the vocabulary and the tail class."""
-        at = np.minimum(np.searchsorted(self.ordered, tokens), len(self.ordered) - 1)
-        return np.where(self.ordered[at] == tokens, self.order[at], len(self.vocabulary) + tails.astype(np.int64))
+        out = len(self.vocabulary) + tails.astype(np.int64)
+        begin = self.first[(tokens >> self.shift).astype(np.int64)]
+        left = np.arange(len(tokens))
+        for i in range(self.most):
+            at = np.minimum(begin + i, len(self.ordered) - 1)
+            same = self.ordered[at] == tokens[left]
+            out[left[same]] = self.order[at[same]]
+            if i + 1 < self.most:
+                left, begin = left[~same], begin[~same]
+        return out
 
     def of(self, places: np.ndarray) -> np.ndarray:
         n = len(self.vocabulary)
         inner = self.heads + np.searchsorted(self.edges, places - self.heads, "right") - 1
         return np.where(places < self.heads, places, np.where(places < n, inner, self.heads + self.classes + places - n))
 
-    def count(self, tokens: np.ndarray) -> np.ndarray:
+    def count(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of known tokens; -1 for others."""
+        out = np.full(len(tokens), -1, np.int64)
         if not len(self.known):
-            return np.full(len(tokens), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.known, tokens), len(self.known) - 1)
-        return np.where(self.known[at] == tokens, self.counts[at], -1)
+            return out
+        own = places < len(self.vocabulary)
+        out[own] = self.own_counts[places[own]]
+        rest = np.flatnonzero(~own)
+        at = np.minimum(np.searchsorted(self.known, tokens[rest]), len(self.known) - 1)
+        out[rest] = np.where(self.known[at] == tokens[rest], self.counts[at], -1)
+        return out
 
 
 def _contexts(outputs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,10 +324,37 @@ class Model:
                     hits[at] += n
         return hits
 
+    def top_sums(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum of exp(score) over all outputs, after two and one. A score is a sum of what either gives, so exp is taken
+        once for each distinct word before, and the sum is a product of two rows."""
+        v, out = self.values, np.empty(len(one), np.float32)
+        outputs = v[self.first_output : self.first_word]
+        rows, most, at = [], [], []
+        for scale, words, bias in ((v[0], one, 0.0), (v[1], two, outputs[:, -1])):
+            used = np.zeros(self.first_output - 2, bool)
+            used[words] = True
+            s = (scale * v[2 + np.flatnonzero(used)])[:, :-1] @ outputs[:, :-1].T + bias
+            most.append(s.max(axis=1))
+            s -= most[-1][:, None]
+            rows.append(np.exp(s, out=s))
+            at.append((np.cumsum(used) - 1)[words])
+        for lo in range(0, len(one), 1024):
+            i, j = at[0][lo : lo + 1024], at[1][lo : lo + 1024]
+            out[lo : lo + 1024] = np.einsum("ij,ij->i", rows[0][i], rows[1][j])
+        low = np.flatnonzero(out < 1e-25)  # what one favours, the other all but rules out
+        out = np.log(np.maximum(out, 1e-37)) + most[0][at[0]] + most[1][at[1]]
+        if len(low):
+            s = self.predicted(two[low], one[low]) @ outputs.T
+            top = s.max(axis=1, keepdims=True)
+            out[low] = top[:, 0] + np.log(np.exp(s - top).sum(axis=1))
+        return out
+
     def log10(self, two: np.ndarray, one: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of each own token after two and one (places); for rarer words, of their class."""
-        o, v, out = self.outputs, self.values, np.empty(len(own))
+        o, v = self.outputs, self.values
         top, x = o.of(own), self.predicted(two, one)
+        outputs = v[self.first_output : self.first_word]
+        out = (np.einsum("ij,ij->i", x, outputs[top]) - self.top_sums(two, one)) / np.log(10)
 
         def within(x: np.ndarray, vectors: np.ndarray, target: np.ndarray) -> np.ndarray:
             s = x @ vectors.T
@@ -314,8 +363,6 @@ class Model:
             mine = s[np.arange(len(target)), target].astype(np.float64)
             return (mine - np.log(np.exp(s, out=s).sum(axis=1))) / np.log(10)
 
-        for lo in range(0, len(own), 1024):
-            out[lo : lo + 1024] = within(x[lo : lo + 1024], v[self.first_output : self.first_word], top[lo : lo + 1024])
         inner = np.flatnonzero((own >= o.heads) & (own < len(o.vocabulary)))
         inner = inner[np.argsort(top[inner], kind="stable")]
         cuts = np.searchsorted(top[inner], o.heads + np.arange(o.classes + 1))
@@ -461,11 +508,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         outputs, learned = shared.value
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for b in words.in_parts(batch, 2):
+            for b in words.in_parts(batch, 2, 2 * words.AT_A_TIME):
                 tokens, tails, sizes = _tokens(b.column(2))
                 o = outputs.place(tokens, tails)
                 two, one = _contexts(o, sizes)
-                c = outputs.count(tokens)
+                c = outputs.count(tokens, o)
                 rare = c < 0
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 own = np.where(rare, 0.0, np.log10(np.maximum(c, 0) + 0.5))

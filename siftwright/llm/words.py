@@ -152,11 +152,11 @@ def windows(words: np.ndarray, counts: np.ndarray, k: int) -> tuple[np.ndarray,
     return of_ranges(words, at, at + k), at
 
 
-def in_parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of some 500 kB of text."""
+def in_parts(batch: pa.RecordBatch, column: int, size: int = AT_A_TIME) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some ``size`` bytes of text."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        n = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_A_TIME, "right")))
+        n = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right")))
         yield batch.slice(at, n - at)
         at = n
