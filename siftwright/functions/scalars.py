@@ -83,7 +83,7 @@ def unit_of_mark(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Integers, decimals, fractions, mixed fractions, the larger of a pair such as 12/20, else a leading number."""
+    """Integers, decimals, fractions, mixed fractions, the larger of a pair such as 12/20 (both 5 or more, the lower no power of two), else a leading number."""
     t = F.trim(F.regexp_replace(c.cast("string"), ",", ""))
     d = lambda p, i: F.regexp_extract(t, p, i).try_cast("double")
     mixed, pair, lead = r"^(\d+)\s*[- ]\s*(\d+)\s*/\s*(\d+)$", r"^(\d+)\s*/\s*(\d+)$", r"^(-?\d+(?:\.\d+)?)"
@@ -91,14 +91,14 @@ def number(c: Column) -> Column:
     return (
         F.when(t.rlike(r"^-?(\d+(\.\d*)?|\.\d+)$"), t.try_cast("double"))
         .when(t.rlike(mixed) & (d(mixed, 3) > 0), d(mixed, 1) + d(mixed, 2) / d(mixed, 3))
-        .when(t.rlike(pair) & (b > 0), F.when((a >= b) | (a >= 10) & (b >= 10), F.greatest(a, b)).otherwise(a / b))
+        .when(t.rlike(pair) & (b > 0), F.when((a >= 5) & (b >= 5) & (b.cast("long").bitwiseAND(b.cast("long") - 1) != 0), F.greatest(a, b)).otherwise(a / b))
         .when(t.rlike(lead), d(lead, 1))
     )
 
 
 def inches(value: Column, unit: Column) -> Column:
-    """A length in inches; null for units that are none."""
-    return value * F.element_at(literal_map(INCHES), F.rtrim(F.lower(F.trim(unit)), F.lit(".")))
+    """A length in inches; null for units that are none. No unit counts as inches."""
+    return value * F.element_at(literal_map(INCHES), F.lower(F.trim(F.coalesce(unit, F.lit("")))))
 
 
 def expand(c: Column) -> Column:
@@ -124,10 +124,27 @@ def clip(c: Column, most: int) -> Column:
 
 
 def distinct_words(c: Column) -> Column:
-    """Repeats of words of more than two characters left out; the first stays."""
-    words = F.split(c, " ")
-    keep = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (F.length(x["w"]) <= 2) | (F.array_position(F.transform(words, lambda v: F.lower(v)), F.lower(x["w"])) == x["i"] + 1))
-    return F.array_join(F.transform(keep, lambda x: x["w"]), " ")
+    """Repeats of words of more than two letters or digits left out, whatever signs are at them; the first stays."""
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    bare = F.transform(words, root)
+    keep = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (F.length(root(x["w"])) <= 2) | (F.array_position(bare, root(x["w"])) == x["i"] + 1))
+    return F.regexp_replace(F.regexp_replace(F.array_join(F.transform(keep, lambda x: x["w"]), " "), r"\s+,", ","), r"^[ ,]+|[ ,]+$", "")
+
+
+def value_key(c: Column) -> Column:
+    """For telling whether two claims are one: lower case, no white space, no signs but . / and -."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"[\s_]+", ""), r"[^\p{L}\p{N}./-]", "")
+
+
+def bare(c: Column) -> Column:
+    """A name without registration signs."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "[®™]", ""))
+
+
+def shares_root(a: Column, b: Column) -> Column:
+    """Whether one name begins with the other, signs aside, as a maker's does that is the brand with a legal suffix."""
+    x, y = root(bare(a)), root(bare(b))
+    return (x != "") & (y != "") & (x.startswith(y) | y.startswith(x))
 
 
 def tokens(c: Column) -> Column:
@@ -177,9 +194,16 @@ def json_object(c: Column) -> Column:
     return F.when(F.try_parse_json(body).isNotNull(), body)
 
 
+def json_list(c: Column, *names: str) -> Column:
+    """The JSON list in such an answer: itself a list, or under the first of the names that the object has; null if there is none that parses."""
+    whole = F.regexp_substr(c, F.lit(r"(?s)\[.*\]"))
+    inside = F.coalesce(*[F.get_json_object(json_object(c), f"$.{n}") for n in names]) if names else F.lit(None).cast("string")
+    return F.coalesce(inside, F.when(F.try_parse_json(whole).isNotNull() & json_object(c).isNull(), whole))
+
+
 def family_signature(supplier: Column, brand: Column, text: Column) -> Column:
     """A short digest of who sells it and its words of three letters or more, sorted: sizes and quantities don't count."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), r"\d+", " "), r"[#\"'xX-]", " ")
     words = F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit("[a-z]{3,}"), F.lit(0))))
-    key = F.concat_ws("|", F.lower(F.coalesce(supplier, F.lit(""))), F.lower(F.coalesce(brand, F.lit(""))), F.array_join(words, " "))
+    key = F.concat_ws("|", F.lower(F.trim(F.coalesce(supplier, F.lit("")))), root(F.coalesce(brand, F.lit(""))), F.array_join(words, " "))
     return F.concat(F.lit("F-"), F.substring(F.sha1(key.cast("binary")), 1, 8))

@@ -11,15 +11,45 @@ from pyspark.sql import functions as F
 from siftwright.functions import scalars
 from siftwright.functions.scalars import literal_map
 
-# Which methods count as one independent source, and the constants of the merge.
-SOURCE_OF = {"input": "input", "rule": "text", "lexicon": "text", "registry": "registry", "family": "family", "llm": "model", "inferred": "text"}
+# Confidence that a method has by itself, which methods count as one independent source, and the constants of the merge.
+PRIORS = {"input": 0.99, "registry": 0.94, "rule": 0.92, "document": 0.88, "family": 0.78, "llm": 0.70, "inferred": 0.62}
+SOURCE_OF = {"input": "source", "registry": "master", "rule": "pattern", "document": "source", "family": "consensus", "llm": "model", "inferred": "pattern"}
 GAIN, CEILING, LOSS, FLOOR = 0.55, 0.995, 0.65, 0.05
+CONFIRMED, REJECTED = 0.5, 0.45
+# Keys and methods that aren't worth a second opinion.
+NOT_AUDITED, TRUSTED = ("mpn", "dept", "class", "fine", "classpath", "unspsc", "selling_uom", "display_only"), ("input", "correction")
 
 
 def source(method: Column) -> Column:
     return F.coalesce(F.element_at(literal_map(SOURCE_OF), method), method)
 
 
+def prior(method: Column) -> Column:
+    return F.coalesce(F.element_at(literal_map(PRIORS), method), F.lit(0.6))
+
+
+def confident(facts: DataFrame, threshold: float) -> DataFrame:
+    """Facts of at least that confidence."""
+    return facts.filter(F.col("confidence") >= threshold)
+
+
+def conflicted(facts: DataFrame) -> DataFrame:
+    """Merged facts that another claim contradicts."""
+    return facts.filter(F.size("conflicts") > 0)
+
+
+def auditable(facts: DataFrame, rules: bool = True) -> DataFrame:
+    """Facts worth a second opinion: not copied, not decided by a person, not structural; with rules False, none that a pattern found."""
+    out = facts.filter(~F.col("key").isin(*NOT_AUDITED) & ~F.col("method").isin(*TRUSTED) & (F.trim(F.coalesce("value", F.lit(""))) != ""))
+    return out if rules else out.filter("method <> 'rule'")
+
+
+def keyed(facts: DataFrame) -> DataFrame:
+    """row_id and fact, a map from key to struct(value, uom, display, method, confidence), for access by key."""
+    entry = F.struct("key", F.struct("value", F.coalesce("uom", F.lit("")).alias("uom"), scalars.display(F.col("value"), F.coalesce("uom", F.lit(""))).alias("display"), "method", "confidence").alias("fact"))
+    return facts.groupBy("row_id").agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("fact"))
+
+
 def unpivoted(df: DataFrame, row_id: str, columns: dict[str, str], method: str, confidence: float) -> DataFrame:
     """A fact for each named column of each row. columns: column to key."""
     items = [F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value"), F.lit(i).alias("priority")) for i, (c, k) in enumerate(columns.items())]
@@ -40,7 +70,7 @@ def merged(facts: DataFrame) -> DataFrame:
     A claim with the same value from a new source closes part of the gap to certainty; from a known source the higher confidence stays.
     A claim with another value takes over only if it is strictly more confident; whichever stays loses some confidence. Claims of one
     row and key are few; they are gathered in one array and folded there."""
-    claim = F.struct("seq", F.col("value").alias("value"), F.lower(F.trim("value")).alias("folded"), F.coalesce("uom", F.lit("")).alias("uom"), "method", source(F.col("method")).alias("source"), F.col("confidence").cast("double").alias("confidence"))
+    claim = F.struct("seq", F.col("value").alias("value"), scalars.value_key(F.col("value")).alias("folded"), F.coalesce("uom", F.lit("")).alias("uom"), "method", source(F.col("method")).alias("source"), F.col("confidence").cast("double").alias("confidence"))
     claims = facts.groupBy("row_id", "key").agg(F.array_sort(F.collect_list(claim)).alias("claims"))
     c0 = F.col("claims")[0]
     zero = F.struct(c0["value"].alias("value"), c0["folded"].alias("folded"), c0["uom"].alias("uom"), c0["method"].alias("method"), c0["confidence"].alias("confidence"), F.array(c0["source"]).alias("sources"), F.array().cast("array<string>").alias("conflicts"))
@@ -65,11 +95,26 @@ def merged(facts: DataFrame) -> DataFrame:
 
 
 def judged(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """An auditor's verdicts (row_id, key, verdict): support closes half the gap to .99, doubt leaves 45 %. No verdict makes a fact."""
+    """facts with confidence after an auditor's verdicts (row_id, key, verdict): support closes half the gap to certainty, .99 at most; doubt
+    leaves 45 %. No verdict makes a fact."""
     v = verdicts.dropDuplicates(["row_id", "key"]).select("row_id", "key", "verdict")
     c = F.col("confidence")
-    changed = F.when(F.col("verdict") == "supported", F.least(F.lit(0.99), c + (1 - c) * 0.5)).when(F.col("verdict") == "unsupported", F.greatest(F.lit(FLOOR), c * 0.45)).otherwise(c)
-    return facts.join(v, ["row_id", "key"], "left").withColumn("confidence", F.when(c >= 0.99, F.when(F.col("verdict") == "unsupported", changed).otherwise(c)).otherwise(changed))
+    risen = F.least(F.lit(0.99), c + (1 - c) * CONFIRMED)
+    changed = F.when(F.col("verdict") == "supported", risen).when(F.col("verdict") == "unsupported", F.greatest(F.lit(FLOOR), c * REJECTED)).otherwise(c)
+    return facts.join(v, ["row_id", "key"], "left").withColumn("confidence", changed)
+
+
+def disagreements(facts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """row_id, kind, message, severity, key: notes for facts that an auditor found no support for."""
+    v = verdicts.filter("verdict = 'unsupported'").dropDuplicates(["row_id", "key"])
+    reason = F.coalesce(F.col("reason"), F.lit("")) if "reason" in verdicts.columns else F.lit("")
+    hit = facts.join(v.select("row_id", "key", reason.alias("reason")), ["row_id", "key"])
+    return hit.select("row_id", F.lit("audit_disagreement").alias("kind"), F.trim(F.concat("key", F.lit(" = "), "value", F.lit(" has no support in the text. "), "reason")).alias("message"), F.lit("review").alias("severity"), "key")
+
+
+def noted(notes: DataFrame, more: DataFrame) -> DataFrame:
+    """notes with more appended; a table of observations only ever grows."""
+    return notes.unionByName(more, allowMissingColumns=True)
 
 
 def grounded(proposals: DataFrame, text: str = "text", quote: str = "quote") -> DataFrame:
