@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from siftwright.llm import words
 from siftwright.llm.common import ship, stored, text_or_empty
 
-HEAD, TAIL, KNOWN = 32, 32, 100_000
+HEAD, TAIL, KNOWN = 32, 32, 500_000
 #: The end's hash.
 END = np.uint64(1)
 DIM = 32
@@ -41,7 +41,7 @@ DIM = 32
 LEAST, OF_ROOT, PILOT, ROUNDS = 100, 0.01, 2_000, 2
 #: Tokens of a task's share, as a task that learns longer passes on fewer changes for each token; tasks at least.
 TASK, TASKS = 8_000_000, 4
-#: Tokens that a task holds and shuffles; tokens of a step; a small corpus is repeated until about so many tokens are seen, AT_MOST times.
+#: Tokens that a task holds, whose steps it shuffles; tokens of a step; a small corpus is repeated until about so many tokens are seen, AT_MOST times.
 CHUNK, BATCH, ENOUGH, AT_MOST = 131_072, 2_048, 10_000_000, 12
 #: Rows of parameters that travel together.
 BLOCK = 64
@@ -282,8 +282,10 @@ class Model:
         x[:, -1] = 1
         return x
 
-    def learn(self, triples: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], repeat: int, rng: np.random.Generator, noise: int = 32, rate: float = 0.05) -> np.ndarray:
-        """Changes values by every triple of places (two, one, own); how often each row was touched."""
+    def learn(self, texts: Iterator[tuple[np.ndarray, np.ndarray]], repeat: int, rng: np.random.Generator, noise: int = 32, rate: float = 0.05) -> np.ndarray:
+        """Changes values by every token of texts (places, and the number of tokens of each text); how often each row was touched.
+
+        A step takes tokens that follow one another, so that a word's vector is read, and changed, once for the two tokens after it."""
         v, o = self.values, self.outputs
         power, hits = np.full(len(v), 0.1, np.float32), np.zeros(len(v), np.int64)
         shares = [self.unigram[: o.size], self.unigram[o.size :]]
@@ -300,13 +302,22 @@ class Model:
             gf = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
             return g[:, None] * out + gf @ out_bad, np.concatenate([target, bad]), np.concatenate([g[:, None] * x, gf.T @ x])
 
-        for two, one, own in triples:
+        for own, sizes in texts:
             top = o.of(own)
+            before = np.concatenate([[0, 0], own])  # the end stands before the first text, as between texts
+            first = np.zeros(len(own), bool)
+            first[np.cumsum(sizes) - sizes] = True
             for _ in range(repeat):
-                order = rng.permutation(len(own))
-                for lo in range(0, len(order), BATCH):
-                    i = order[lo : lo + BATCH]
-                    r1, r2 = v[2 + one[i]], v[2 + two[i]]
+                cuts = np.arange(-int(rng.integers(BATCH)), len(own), BATCH)
+                for lo in rng.permutation(cuts).tolist():
+                    i = slice(max(lo, 0), min(lo + BATCH, len(own)))
+                    n, fresh = i.stop - i.start, np.flatnonzero(first[i])
+                    if n < 1:
+                        continue
+                    places = 2 + before[i.start : i.stop + 1]
+                    both = v[places]
+                    r1, r2 = both[1:], both[:-1].copy()
+                    r2[fresh] = r1[fresh]  # the end
                     x = v[0] * r1 + v[1] * r2
                     x[:, -1] = 1
                     gp, rows, grads = contrast(x, top[i], 0)
@@ -316,12 +327,15 @@ class Model:
                         gp[inner] += more
                         rows, grads = np.concatenate([rows, r]), np.concatenate([grads, g])
                     gp[:, -1] = 0
-                    at = np.concatenate([[0, 1], 2 + one[i], 2 + two[i], self.first_output + rows])
-                    all_grads = np.concatenate([[(gp * r1).sum(axis=0), (gp * r2).sum(axis=0)], gp * v[0], gp * v[1], grads])
-                    at, total, n = _sums(at, all_grads)
+                    g2 = gp * v[1]
+                    of_both = np.concatenate([np.zeros_like(gp[:1]), gp * v[0]])
+                    of_both[1 + fresh] += g2[fresh]
+                    g2[fresh] = 0
+                    of_both[:-1] += g2
+                    at, total, times = _sums(np.concatenate([[0, 1], places, self.first_output + rows]), np.concatenate([[(gp * r1).sum(axis=0), (gp * r2).sum(axis=0)], of_both, grads]))
                     power[at] += (total * total).mean(axis=1)
                     v[at] -= (rate / np.sqrt(power[at]))[:, None] * total
-                    hits[at] += n
+                    hits[at] += times
         return hits
 
     def top_sums(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -416,21 +430,20 @@ def improve(model: Model, docs: DataFrame, repeat: int, tasks: int) -> None:
         begin = shared.value
         o, own = begin.outputs, Model(begin.outputs, begin.values.copy(), begin.unigram)
 
-        def triples() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def texts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held, size = [], 0
             for batch in batches:
                 for b in words.in_parts(batch, 0):
                     tokens, tails, sizes = _tokens(b.column(0))
-                    places = o.place(tokens, tails)
-                    held.append((*_contexts(places, sizes), places))
-                    size += len(places)
+                    held.append((o.place(tokens, tails), sizes))
+                    size += len(tokens)
                     if size >= CHUNK:
                         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
                         held, size = [], 0
             if size:
                 yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
-        hits = own.learn(triples(), repeat, np.random.default_rng(TaskContext.get().partitionId()))
+        hits = own.learn(texts(), repeat, np.random.default_rng(TaskContext.get().partitionId()))
         change = own.values - begin.values
         yield from rows([(i, hits[i : i + BLOCK], change[i : i + BLOCK]) for i in range(0, len(hits), BLOCK) if hits[i : i + BLOCK].any()])
 
