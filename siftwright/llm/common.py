@@ -18,10 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a session without one, as in tests, a folder under the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a local session without one, as in tests, a folder under the warehouse.
+    Whoever names the folder empties it: results are read from it after a query returns."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(named)
@@ -45,7 +48,7 @@ def width(spark: SparkSession) -> int:
 
 
 #: Rows of an Arrow batch at most: texts are long, and a batch is held several times on its way.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:

@@ -265,5 +265,5 @@ def join(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), recal
 
 def one_of_each(docs: DataFrame, joined: DataFrame) -> DataFrame:
     """docs without those that a document of smaller id stands for; of repeated rows of an id, all stay. A null id stays."""
-    gone = joined.filter("class_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = joined.filter("class_id <> doc_id").select(F.col("doc_id").alias("_neardup_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_neardup_gone"], "left_anti")
