@@ -1,7 +1,11 @@
 """A corpus from documents to packed sequences: language, near duplicates, personal data, source mix, packing.
 
 Each stage takes what its predecessor kept, as Parquet, and its decisions take effect. All but the last return the columns of
-documents.
+documents; other columns are carried along, whatever their names, as those that stages add on their way are named apart.
+
+Defined cases: null and empty texts, and those without a letter, have no language and go in the first stage; rows of null id have no
+near duplicates, and are packed as any other; repeated rows of an id stay together: a copy that another document stands for goes
+with all rows of its id; null sources are one source; an empty table passes through every stage and gives no pieces.
 """
 
 from __future__ import annotations
@@ -15,17 +19,19 @@ from siftwright.llm import langid, mixing, neardup, packing, pii
 from siftwright.llm.common import shared_dir, table
 from siftwright.llm.queries import _byte_bpe
 
-#: Least share of a text's n-grams that its language must know.
-LEAST_SCORE = 0.4
+#: A text is in a language that knows this share of its n-grams, or leads the next one by so much: short texts have uncommon words.
+LEAST_SCORE, LEAST_LEAD = 0.4, 0.05
 
-#: Tokenizers and learned models have no SQL; the tests hold run() against plain Python.
+#: Tokenizers and learned models have no SQL; tests/llm/test_pipeline.py holds every stage, and run(), against plain Python.
 ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that are in one of the languages learned from the labelled ones."""
-    judged = langid.predict(docs, langid.fit(docs), *docs.columns)
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    names = ("_language_pred", "_language_score", "_language_lead")
+    judged = langid.predict(docs, langid.fit(docs), *docs.columns, names=names)
+    sure = (F.col(names[1]) >= LEAST_SCORE) | (F.col(names[2]) >= LEAST_LEAD)
+    return judged.filter((F.col(names[0]) != langid.UNKNOWN) & sure).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
