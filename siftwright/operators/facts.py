@@ -128,6 +128,6 @@ def row_scores(facts: DataFrame) -> DataFrame:
 
 
 def fingerprint(facts: DataFrame) -> DataFrame:
-    """A short digest of each row's keys and values, whatever their order."""
-    pairs = F.array_sort(F.collect_list(F.concat_ws("=", "key", F.lower(F.trim("value")))))
-    return facts.groupBy("row_id").agg(F.substring(F.sha1(F.array_join(pairs, "|").cast("binary")), 1, 12).alias("fingerprint"))
+    """A short digest of each row's keys and folded values, whatever their order: of the JSON list of the pairs."""
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("key", scalars.value_key(F.col("value")).alias("v")))), lambda p: F.concat(F.lit('["'), p["key"], F.lit('", "'), p["v"], F.lit('"]')))
+    return facts.groupBy("row_id").agg(F.substring(F.sha1(F.concat(F.lit("["), F.array_join(pairs, ", "), F.lit("]")).cast("binary")), 1, 12).alias("fingerprint"))

@@ -70,16 +70,20 @@ def q_role_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 100")
 def q_limit_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature is the limit: first rows in order."""
-    return table(spark, sf_dir, "part").orderBy("p_partkey").limit(100).select("p_partkey", "p_name")
+    return roles.page(table(spark, sf_dir, "part"), 0, 100, order="p_partkey").select("p_partkey", "p_name")
 
 
 @query(
     r"""
-SELECT p_partkey, regexp_extract(p_brand, '(\d+)', 1)::INT AS brand_no, NULLIF(regexp_extract(p_brand, '^([A-Za-z]+)', 1), '') AS brand_word, p_size * 0.5 AS half FROM part"""
+WITH v AS (SELECT p_partkey, p_size, unnest([p_size || '', p_size || '.25', p_size || '-1/8', p_size || '/64', p_size || '/20', p_size || ' x 3', 'none', '1,' || lpad(p_size || '', 3, '0')]) AS value, unnest(range(8)) AS k FROM part)
+SELECT p_partkey, value, CASE k WHEN 0 THEN p_size WHEN 1 THEN p_size + 0.25 WHEN 2 THEN p_size + 0.125 WHEN 3 THEN p_size / 64.0 WHEN 4 THEN CASE WHEN p_size >= 5 THEN greatest(p_size, 20) ELSE p_size / 20.0 END WHEN 5 THEN p_size WHEN 7 THEN 1000 + p_size END::DOUBLE AS number FROM v"""
 )
-def q_extract_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1).cast("int").alias("brand_no"), F.regexp_substr("p_brand", F.lit("^[A-Za-z]+")).alias("brand_word"), (F.col("p_size") * 0.5).alias("half"))
+def q_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trade numbers: decimals, fractions, pairs, leading numbers."""
+    size = F.col("p_size").cast("string")
+    forms = F.array(size, F.concat(size, F.lit(".25")), F.concat(size, F.lit("-1/8")), F.concat(size, F.lit("/64")), F.concat(size, F.lit("/20")), F.concat(size, F.lit(" x 3")), F.lit("none"), F.concat(F.lit("1,"), F.lpad(size, 3, "0")))
+    v = table(spark, sf_dir, "part").select("p_partkey", F.explode(forms).alias("value"))
+    return v.select("p_partkey", "value", scalars.number(F.col("value")).alias("number"))
 
 
 @query(
@@ -137,12 +141,13 @@ def q_longest_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH c AS (SELECT p_brand, p_type, list_last(string_split(p_name, ' ')) AS noun, count(*) AS n FROM part GROUP BY 1, 2, 3), r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand, p_type) AS total, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY n DESC, noun) AS k FROM c)
-SELECT p_brand, p_type, total::BIGINT AS total, n, noun FROM r WHERE k = 1 AND n >= 2 AND n >= 0.2 * total"""
+WITH p AS (SELECT p_brand, CASE WHEN p_size % 4 > 0 THEN 'ring' ELSE list_last(string_split(p_name, ' ')) END AS noun FROM part),
+c AS (SELECT p_brand, noun, count(*) AS n FROM p GROUP BY 1, 2), r AS (SELECT *, sum(n) OVER (PARTITION BY p_brand) AS total, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, noun) AS k FROM c)
+SELECT p_brand, total::BIGINT AS total, n, noun FROM r WHERE k = 1 AND n >= 2 AND n >= 0.7 * total"""
 )
 def q_series_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").withColumn("noun", F.element_at(F.split("p_name", " "), -1))
-    return vocabulary.votes(p, ["p_brand", "p_type"], "noun", share=0.2)
+    p = table(spark, sf_dir, "part").withColumn("noun", F.when(F.col("p_size") % 4 > 0, "ring").otherwise(F.element_at(F.split("p_name", " "), -1)))
+    return vocabulary.votes(p, ["p_brand"], "noun")
 
 
 @query("SELECT n_name AS name, n_name AS brand FROM nation UNION ALL SELECT r_name, NULL FROM region")
@@ -209,7 +214,7 @@ def q_family_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members(spark, sf_dir)
 
 
-_FAMILY_VOTES = "WITH " + PART_FACTS + ", " + MEMBERS + ", v AS (SELECT family_id, key, lower(value) AS value, count(DISTINCT row_id) AS n FROM pf JOIN m USING (row_id) GROUP BY 1, 2, 3)"
+_FAMILY_VOTES = "WITH " + PART_FACTS + ", " + MEMBERS + ", v AS (SELECT family_id, key, trim(value) AS value, count(DISTINCT row_id) AS n FROM pf JOIN m USING (row_id) GROUP BY 1, 2, 3)"
 
 
 @query(_FAMILY_VOTES + " SELECT family_id, key, min(value) AS value, sum(n)::BIGINT AS support, least(0.88, 0.6 + 0.05 * sum(n))::DOUBLE AS confidence FROM v GROUP BY 1, 2 HAVING count(*) = 1 AND sum(n) >= 2")
@@ -219,16 +224,16 @@ def q_family_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH f AS (SELECT o_orderkey AS row_id, o_custkey AS family_id, lower(o_orderstatus) AS value FROM orders), v AS (SELECT family_id, value, count(*) AS n FROM f GROUP BY 1, 2),
-t AS (SELECT family_id, sum(n)::BIGINT AS total, count(*) AS vals, max(n) AS most, arg_min(value, (-n, value)) AS usual FROM v GROUP BY 1 HAVING sum(n) >= 4 AND count(*) >= 2 AND max(n) >= 0.5 * sum(n))
+WITH f AS (SELECT o_orderkey AS row_id, o_custkey AS family_id, o_orderstatus AS value FROM orders), v AS (SELECT family_id, value, count(*) AS n FROM f GROUP BY 1, 2),
+t AS (SELECT family_id, sum(n)::BIGINT AS total, count(*) AS vals, max(n) AS most, arg_min(value, (-n, value)) AS usual FROM v GROUP BY 1 HAVING sum(n) >= 4 AND count(*) >= 2 AND max(n) >= 0.75 * sum(n))
 SELECT row_id, family_id, 'status' AS key, value, usual, most, total FROM f JOIN t USING (family_id) WHERE value <> usual"""
 )
 def q_family_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_custkey").alias("family_id"), F.col("o_orderstatus").alias("value"))
-    return families.anomalies(o.select("row_id", F.lit("status").alias("key"), "value"), o.select("row_id", "family_id"), share=0.5)
+    return families.anomalies(o.select("row_id", F.lit("status").alias("key"), "value"), o.select("row_id", "family_id"))
 
 
-@query(_FAMILY_VOTES + ", f AS (SELECT family_id, key, sum(n) AS n, count(*) AS vals FROM v GROUP BY 1, 2 HAVING sum(n) >= 2) SELECT key, count(*) AS families, count(*) FILTER (vals = 1) AS agreeing, avg(CASE WHEN vals = 1 THEN 1.0 ELSE 0.0 END) AS rate FROM f GROUP BY key")
+@query(_FAMILY_VOTES + ", f AS (SELECT family_id, key, sum(n) AS n, count(*) AS vals FROM v GROUP BY 1, 2 HAVING sum(n) >= 2) SELECT key, count(*) AS families, count(*) FILTER (vals = 1) AS agreeing, avg(CASE WHEN vals = 1 THEN 1.0 ELSE 0.0 END) AS rate FROM f GROUP BY key HAVING count(*) >= 3")
 def q_family_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return families.consistency(part_facts(spark, sf_dir), members(spark, sf_dir))
 
@@ -275,13 +280,13 @@ def q_pack_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.learned_slots(p, "p_type", {1: ("noun", "p_size", "p_type"), 2: ("p_brand", "p_name", "p_type")})
 
 
-@query("SELECT l_orderkey * 10 + l_linenumber AS row_id, 'GRD-DOM-GA' AS rule, 'gauge' AS key FROM lineitem WHERE l_quantity < 1 OR l_quantity > 40")
+@query("SELECT l_orderkey * 10 + l_linenumber AS row_id, 'GRD-DOM-GA' AS rule, 'gauge' AS key, 'error' AS severity FROM lineitem WHERE l_quantity < 1 OR l_quantity > 40")
 def q_guard_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"), F.lit("gauge").alias("key"), F.col("l_quantity").cast("string").alias("value"), F.lit("GA").alias("uom"))
     return guard.findings(li)
 
 
-@query("SELECT p_partkey AS row_id, 'GRD-REL-ARB' AS rule, 'arbor_size' AS key FROM part WHERE p_size / 25.4 >= 1.0")
+@query("SELECT p_partkey AS row_id, 'GRD-REL-ARB' AS rule, 'arbor_size' AS key, 'error' AS severity FROM part WHERE p_size / 25.4 >= 1.0")
 def q_guard_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     arbor = p.select(F.col("p_partkey").alias("row_id"), F.lit("arbor_size").alias("key"), F.col("p_size").cast("string").alias("value"), F.lit("mm").alias("uom"))
@@ -315,11 +320,12 @@ def q_validate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH p AS (SELECT p_partkey, [upper(p_name), upper(p_type), upper(p_brand), p_size::VARCHAR || 'IN', upper(p_name)] AS t FROM part)
-SELECT p_partkey, list_reduce(t, lambda a, x: CASE WHEN length(a) + CASE WHEN a = '' THEN 0 ELSE 1 END + length(x) <= 40 THEN a || CASE WHEN a = '' THEN '' ELSE ' ' END || x ELSE a END, '') AS line FROM p"""
+SELECT p_partkey, list_reduce(t, lambda a, x: CASE WHEN length(a) + CASE WHEN a = '' THEN 0 ELSE 1 END + length(x) <= 40 THEN a || CASE WHEN a = '' THEN '' ELSE ' ' END || x
+  WHEN contains(x, ' ') AND length(a) + 1 + length(array_to_string(list_transform(string_split(x, ' '), lambda w: w[:4]), '')) <= 40 THEN a || ' ' || array_to_string(list_transform(string_split(x, ' '), lambda w: w[:4]), '') ELSE a END, '') AS line FROM p"""
 )
 def q_invoice_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
-    pieces = F.array(*[compose.forms(c) for c in (F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.concat(F.col("p_size").cast("string"), F.lit("in")), F.col("p_name"))])
+    pieces = F.array(*[F.struct(F.lit("k").alias("key"), compose.forms(c).alias("forms")) for c in (F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.concat(F.col("p_size").cast("string"), F.lit("in")), F.col("p_name"))])
     return p.select("p_partkey", compose.within_budget(pieces)["text"].alias("line"))
 
 
@@ -340,11 +346,11 @@ def _part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
 WITH l AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size <= 10), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size > 40)
-SELECT l.p_partkey AS source, r.p_partkey AS target, 'powers' AS relation, 'KG-PWR-01' AS rule FROM l JOIN r USING (p_brand) WHERE l.k <= 25 AND r.k <= 25"""
+SELECT l.p_partkey AS source, r.p_partkey AS target, 'powers' AS relation, 'KG-PLT-01' AS rule FROM l JOIN r USING (p_brand) WHERE l.k <= 25 AND r.k <= 25"""
 )
 def q_edges_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _part_nodes(spark, sf_dir)
-    return edges.blocked(n, ["brand"], F.col("size") <= 10, F.col("size") > 40, "row_id", 25, "powers", "KG-PWR-01")
+    return edges.blocked(n, ["brand"], F.col("size") <= 10, F.col("size") > 40, "row_id", 25, "powers", "KG-PLT-01")
 
 
 _STAR = "r AS (SELECT p_name, p_partkey, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_name) AS n, min(p_partkey) OVER (PARTITION BY p_name) AS head FROM part), e AS (SELECT head AS source, p_partkey AS target, 'variant_of' AS relation, 'KG-VAR-01' AS rule FROM r WHERE k BETWEEN 2 AND 25 AND n <= 60)"
@@ -357,12 +363,12 @@ def q_edges_star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) AS k FROM part)
-SELECT a.p_partkey AS source, b.p_partkey AS target, 'cross_reference' AS relation, 'KG-XRF-01' AS rule FROM k a JOIN k b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand < b.p_brand WHERE a.k <= 6 AND b.k <= 6"""
+WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_type, p_size, p_brand ORDER BY p_partkey) AS k, min(p_partkey) OVER (PARTITION BY p_type, p_size, p_brand) AS f FROM part)
+SELECT a.p_partkey AS source, b.p_partkey AS target, 'cross_reference' AS relation, 'KG-XRF-01' AS rule FROM k a JOIN k b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand <> b.p_brand AND a.f < b.f WHERE a.k <= 6 AND b.k <= 6"""
 )
 def q_edges_xref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    yes = F.lit(True)
-    return edges.blocked(_part_nodes(spark, sf_dir), ["kind", "size"], yes, yes, "row_id", 6, "cross_reference", "KG-XRF-01", F.col("l.brand") < F.col("r.brand"))
+    """Six rows of each brand in a block, however many another brand has there."""
+    return edges.across(_part_nodes(spark, sf_dir), ["kind", "size"], "brand", "row_id", 6, "cross_reference", "KG-XRF-01")
 
 
 @query("WITH " + _STAR + ", d AS (SELECT source AS row_id FROM e UNION ALL SELECT target FROM e) SELECT row_id, count(*) AS degree FROM d GROUP BY 1")
@@ -373,12 +379,15 @@ def q_edge_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + MEMBERS
-    + """, s AS (SELECT row_id, family_id, count(*) OVER (PARTITION BY family_id) AS family_rows, p_size / 50.0 AS score, CASE WHEN length(p_name) > 12 THEN 'too long' END AS issue FROM m JOIN part ON p_partkey = row_id)
-SELECT row_id, family_id, family_rows, issue, round((1 - score) * family_rows, 3) AS review_value FROM s WHERE issue IS NOT NULL"""
+    + """, s AS (SELECT row_id, family_id, count(*) OVER (PARTITION BY family_id) AS family_rows, p_size / 50.0 AS score, p_name, p_size FROM m JOIN part ON p_partkey = row_id),
+i AS (SELECT *, unnest(list_filter([CASE WHEN length(p_name) > 8 THEN 'too long' END, CASE WHEN p_size < 10 THEN 'too small' END], lambda x: x IS NOT NULL)) AS issue FROM s)
+SELECT row_id, family_id, family_rows, issue, round((1 - score) * family_rows, 3) AS review_value, row_number() OVER (ORDER BY round((1 - score) * family_rows, 3) DESC, row_id, issue) AS nth FROM i"""
 )
 def q_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_size") / 50.0).alias("score"), F.array_compact(F.array(F.when(F.length("p_name") > 12, "too long"))).alias("issues"))
-    return review.queue(p.join(members(spark, sf_dir), "row_id"), "family_id", "score", F.col("issues")).select("row_id", "family_id", "family_rows", "issue", "review_value")
+    """The queue with its order, as rows are told."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_size") / 50.0).alias("score"), F.array_compact(F.array(F.when(F.length("p_name") > 8, "too long"), F.when(F.col("p_size") < 10, "too small"))).alias("issues"))
+    queue = review.queue(p.join(members(spark, sf_dir), "row_id"), "family_id", "score", F.col("issues")).select("row_id", "family_id", "family_rows", "issue", "review_value")
+    return vocabulary.numbered(queue.withColumn("_all", F.lit(1)), ["_all"], [F.desc("review_value"), F.col("row_id"), F.col("issue")]).drop("_all").withColumn("nth", F.col("nth").cast("long"))
 
 
 @query("SELECT s_suppkey AS row_id, unnest(['s_name', 's_nationkey', 's_acctbal']) AS \"column\", unnest([s_name, s_nationkey::VARCHAR, s_acctbal::INT::VARCHAR]) AS value, 'input' AS method FROM supplier")
@@ -387,19 +396,16 @@ def q_provenance_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.ledger(s, "s_suppkey", ["s_name", "s_nationkey", "s_acctbal"], "input")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS n_done, avg(o_totalprice) AS mean_price, count(DISTINCT o_custkey) AS customers, min(length(o_orderpriority)) AS shortest FROM orders")
-def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("n_done"), F.avg("o_totalprice").alias("mean_price"), F.count_distinct("o_custkey").alias("customers"), F.min(F.length("o_orderpriority")).alias("shortest"))
-
-
 _F1 = """tok AS (SELECT item_id, list_filter(regexp_extract_all(lower(a), '[a-z0-9]+(?:[./-][a-z0-9]+)*'), lambda x: true) AS x, regexp_extract_all(lower(b), '[a-z0-9]+(?:[./-][a-z0-9]+)*') AS y FROM pair),
 f AS (SELECT item_id, CASE WHEN len(x) = 0 AND len(y) = 0 THEN 1.0 WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(x), lambda w: least(len(list_filter(x, lambda v: v = w)), len(list_filter(y, lambda v: v = w))))), 0) / (len(x) + len(y)) END::DOUBLE AS f1 FROM tok)"""
 
 
-@query("WITH pair AS (SELECT item_id, text AS a, substr(text, 1, 60) AS b FROM benchmark), " + _F1 + " SELECT item_id, f1 FROM f")
+@query("WITH pair AS (SELECT x.item_id, x.text AS a, y.text AS b FROM benchmark x LEFT JOIN benchmark y ON y.item_id = x.item_id + 1), " + _F1.replace("lower(b)", "lower(coalesce(b, ''))") + " SELECT item_id, f1 FROM f")
 def q_token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text with the next one's, both whole."""
     b = table(spark, sf_dir, "benchmark")
-    return b.select("item_id", scalars.token_f1(F.col("text"), F.substring("text", 1, 60)).alias("f1"))
+    after = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next"))
+    return b.join(after, "item_id", "left").select("item_id", scalars.token_f1(F.col("text"), F.col("next")).alias("f1"))
 
 
 @query(
@@ -419,7 +425,7 @@ def q_char_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.length_report(table(spark, sf_dir, "part"), {"p_name": 10, "p_type": 6})
 
 
-CORRECTIONS = [("part", "7", "size", "99", 1), ("classpath", "PROMO", "size", "1", 2), ("family", "F-none", "size", "5", 3), ("part", "7", "note", "seen", 4)]
+CORRECTIONS = [("part", "7", "size", "99", 1), ("classpath", "PROMO", "size", "1", 2), ("family", " F-red", "size", "5", 3), ("part", "7", "note", "seen", 4)]
 
 
 def _corrections(spark: SparkSession) -> DataFrame:
@@ -427,7 +433,7 @@ def _corrections(spark: SparkSession) -> DataFrame:
 
 
 def _scoped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("part"), F.col("p_type").alias("classpath"), F.lit("F-x").alias("family"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), F.col("p_partkey").alias("part"), F.col("p_type").alias("classpath"), F.concat(F.lit("F-"), F.split("p_name", " ")[0]).alias("family"))
 
 
 _COLUMNS = {"part": "part", "family": "family", "classpath": "classpath"}
@@ -435,31 +441,33 @@ _COLUMNS = {"part": "part", "family": "family", "classpath": "classpath"}
 
 @query(
     """
-SELECT p_partkey AS row_id, 'size' AS key, CASE WHEN p_partkey = 7 THEN '99' WHEN p_type = 'PROMO' THEN '1' ELSE p_size::VARCHAR END AS value, CASE WHEN p_partkey = 7 OR p_type = 'PROMO' THEN 0.99 ELSE 0.9 END::DOUBLE AS confidence,
- CASE WHEN p_partkey = 7 OR p_type = 'PROMO' THEN p_size::VARCHAR END AS was, CASE WHEN p_partkey = 7 THEN 'part' WHEN p_type = 'PROMO' THEN 'classpath' END AS scope FROM part UNION ALL SELECT 7, 'note', 'seen', 0.99, NULL, 'part'"""
+SELECT p_partkey AS row_id, 'size' AS key, CASE WHEN p_partkey = 7 THEN '99' WHEN p_name LIKE 'red %' THEN '5' WHEN p_type = 'PROMO' THEN '1' ELSE p_size::VARCHAR END AS value, CASE WHEN p_partkey = 7 OR p_name LIKE 'red %' OR p_type = 'PROMO' THEN 0.99 ELSE 0.9 END::DOUBLE AS confidence,
+ CASE WHEN p_partkey = 7 OR p_name LIKE 'red %' OR p_type = 'PROMO' THEN p_size::VARCHAR END AS was, CASE WHEN p_partkey = 7 THEN 'part' WHEN p_name LIKE 'red %' THEN 'family' WHEN p_type = 'PROMO' THEN 'classpath' END AS scope FROM part UNION ALL SELECT 7, 'note', 'seen', 0.99, NULL, 'part'"""
 )
 def q_corrections_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = part_facts(spark, sf_dir).filter("key = 'size'")
     return corrections.applied(f, _scoped(spark, sf_dir), _corrections(spark), _COLUMNS)
 
 
-@query("SELECT * FROM (VALUES ('part', '7', 'size', 1::BIGINT, false), ('family', 'F-none', 'size', 0, true), ('part', '7', 'note', 1, false)) v(scope, target, key, rows, stale) UNION ALL SELECT 'classpath', 'PROMO', 'size', count(*), count(*) = 0 FROM part WHERE p_type = 'PROMO'")
+@query("SELECT * FROM (VALUES ('part', '7', 'size', 1::BIGINT, false), ('part', '7', 'note', 1, false)) v(scope, target, key, rows, stale) UNION ALL SELECT 'family', ' F-red', 'size', count(*), count(*) = 0 FROM part WHERE p_name LIKE 'red %' UNION ALL SELECT 'classpath', 'PROMO', 'size', count(*), count(*) = 0 FROM part WHERE p_type = 'PROMO'")
 def q_corrections_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.leverage(_scoped(spark, sf_dir), _corrections(spark), _COLUMNS)
 
 
-@query("WITH d AS (SELECT o_custkey, min(o_orderkey) AS o FROM orders GROUP BY 1) SELECT c_custkey, o AS first_order FROM customer JOIN d ON o_custkey = c_custkey")
+@query("WITH d AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS o FROM orders GROUP BY 1) SELECT c_custkey, c_acctbal AS truth, o AS predicted FROM customer JOIN d ON o_custkey = c_custkey")
 def q_truth_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first_order"))
-    return table(spark, sf_dir, "customer").join(first, F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "first_order")
+    """The first prediction of each key, beside the truth."""
+    predicted = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", F.col("o_totalprice").alias("amount"))
+    truth = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("amount"))
+    return review.joined(predicted, truth, "c_custkey", ["amount"], "o_orderkey").select("c_custkey", F.col("t.amount").alias("truth"), F.col("p.amount").alias("predicted"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_type = (SELECT min(p_type) FROM part) AND contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 50 OFFSET 5")
+@query("SELECT p_partkey FROM part WHERE p_type = (SELECT min(p_type) FROM part) AND contains(lower(p_name || p_type), 'r') ORDER BY p_partkey LIMIT 50 OFFSET 5")
 def q_page_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feature is the page."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     least = p.agg(F.min("p_type").alias("t")).first()["t"]
-    return roles.page(p, 5, 50, {"p_type": least}, "RED", "p_partkey").select("p_partkey")
+    return roles.page(p, 5, 50, {"p_type": least}, "R", "p_partkey").select("p_partkey")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
@@ -479,12 +487,17 @@ def q_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.scored(p.filter("p_size <= 25"), p.filter("p_size > 20"), "p_type", "p_brand").select("p_type", "hits", "missed", "extra")
 
 
-@query("SELECT part.p_partkey AS row_id, 0.9::DOUBLE AS score, 4::BIGINT AS n_facts FROM part")
+@query("SELECT p_partkey AS row_id, (3 * 0.9 + 0.5 + (p_size % 5) / 10.0)::DOUBLE / 4 AS score, 4::BIGINT AS n_facts FROM part")
 def q_row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.row_scores(part_facts(spark, sf_dir))
+    varied = F.when(F.col("key") == "size", 0.5 + F.col("value").try_cast("int") % 5 / 10.0).otherwise(F.col("confidence"))
+    return facts.row_scores(part_facts(spark, sf_dir).withColumn("confidence", varied))
 
 
-@query("WITH " + PART_FACTS + " SELECT row_id, substr(sha1(string_agg(key || '=' || lower(value), '|' ORDER BY key || '=' || lower(value))), 1, 12) AS fingerprint FROM pf GROUP BY 1")
+@query(
+    "WITH "
+    + PART_FACTS
+    + """ SELECT row_id, substr(sha1('[' || string_agg('["' || key || '", "' || regexp_replace(lower(value), '[^a-z0-9./-]', '', 'g') || '"]', ', ' ORDER BY key) || ']'), 1, 12) AS fingerprint FROM pf GROUP BY 1"""
+)
 def q_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.fingerprint(part_facts(spark, sf_dir))
 
@@ -496,7 +509,14 @@ def q_audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.judged(f, v).select("row_id", "key", "value", "confidence")
 
 
-@query("SELECT doc_id, d.text AS text FROM (SELECT doc_id, substr(text, 1, 40) AS text, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN substr(text, 5, 10) ELSE 'zzzzqq' END AS quote FROM documents) d WHERE trim(quote) <> '' AND contains(lower(text), lower(trim(quote)))")
+@query(
+    """
+WITH q AS (SELECT doc_id, text, unnest([substr(text, 1, 12), substr(text, length(text) // 2, 25), right(text, 15), 'zzzzqq', ' ', text]) AS quote, unnest(range(6)) AS nth FROM documents)
+SELECT doc_id, nth, length(quote)::INT AS n FROM q WHERE trim(quote) <> '' AND contains(lower(text), lower(trim(quote)))"""
+)
 def q_evidence_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.substring("text", 5, 10)).otherwise("zzzzqq").alias("quote"))
-    return facts.grounded(d).select("doc_id", F.substring("text", 1, 40).alias("text"))
+    """Quotes from the start, the middle and the end of whole texts, of all of a text, and some that are not there."""
+    n = F.length("text")
+    quotes = F.array(F.substring("text", 1, 12), F.substring("text", (n / 2).cast("int"), F.lit(25)), F.right("text", F.lit(15)), F.lit("zzzzqq"), F.lit(" "), F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(quotes).alias("nth", "quote"))
+    return facts.grounded(d).select("doc_id", F.col("nth").cast("long").alias("nth"), F.length("quote").alias("n"))
