@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from siftwright.plans import delivery_queries as delivery_queries
 from siftwright.plans import queries
 
 SF = "/root/testdata/sf0.001"
