@@ -87,3 +87,16 @@ def test_quotes_are_found_in_all_of_a_text_and_in_its_expansion(spark):
     rows = [(1, text, "kichler"), (2, text, "In The Middle"), (3, text, "sold in pairs"), (4, text, "wall light"), (5, text, "absent"), (6, text, " "), (7, None, "a")]
     got = facts.grounded(spark.createDataFrame(rows, "id int, text string, quote string"))
     assert sorted(r["id"] for r in got.collect()) == [1, 2, 3, 4]
+
+
+def test_further_roles(spark):
+    df = spark.createDataFrame([("a", "b", "c", "d")], ["Our System Brand", "Brand", "Mfg Part Num", "Part Desc"])
+    assert {r: c for r, (c, _) in roles.detect(df, {"brand_erp": [r"^our[_ ]?system[_ ]?brand"]}).items()} == {"brand_erp": "Our System Brand", "brand": "Brand", "mpn": "Mfg Part Num", "description": "Part Desc"}
+
+
+def test_similar_names(spark):
+    from siftwright.operators import registry
+
+    df = spark.createDataFrame([("rings",), ("bolts",), ("zzz",), (None,), ("rings",)], "n string")
+    got = sorted((r["n"] or "", r["nearest"], r["ratio"]) for r in registry.similar(df, "n", ["Ring", "Bolt", "ringer"], 0.8).collect())
+    assert got == [("", None, None), ("bolts", "Bolt", pytest.approx(8 / 9)), ("rings", "Ring", pytest.approx(8 / 9)), ("rings", "Ring", pytest.approx(8 / 9)), ("zzz", None, None)]
