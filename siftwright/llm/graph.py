@@ -19,7 +19,8 @@ def _followed(labels: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) for every node in edges (a, b), which have no direction.
+    """node, label (the least node of its component) for every node in edges (a, b), which have no direction. Edges with a null end, or
+    both ends one node, link nothing and name no node; repeated edges count once; no edges give no rows.
 
     In each round every node takes its least neighbour, if less than itself, and so on to the end of the path; then nodes with one
     label become one node. At least half of the nodes with a link go in each round; rounds end when no link is left. Each round is

@@ -370,21 +370,21 @@ class Model:
         outputs = v[self.first_output : self.first_word]
         out = (np.einsum("ij,ij->i", x, outputs[top]) - self.top_sums(two, one)) / np.log(10)
 
-        def within(x: np.ndarray, vectors: np.ndarray, target: np.ndarray) -> np.ndarray:
-            s = x @ vectors.T
-            if float((x * x).sum(axis=1).max() * (vectors * vectors).sum(axis=1).max()) > 60.0**2:  # else exp stays in range
-                s -= s.max(axis=1, keepdims=True)
-            mine = s[np.arange(len(target)), target].astype(np.float64)
-            return (mine - np.log(np.exp(s, out=s).sum(axis=1))) / np.log(10)
-
+        norms, words = (x * x).sum(axis=1), v[self.first_word :]
+        own_norms = (words * words).sum(axis=1)
         inner = np.flatnonzero((own >= o.heads) & (own < len(o.vocabulary)))
         inner = inner[np.argsort(top[inner], kind="stable")]
         cuts = np.searchsorted(top[inner], o.heads + np.arange(o.classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             begin, end = o.edges[c], o.edges[c + 1]
+            vectors, high = words[begin:end], float(own_norms[begin:end].max())
             for lo in range(cuts[c], cuts[c + 1], 1024):
                 i = inner[lo : min(lo + 1024, cuts[c + 1])]
-                out[i] += within(x[i], v[self.first_word + begin : self.first_word + end], own[i] - o.heads - begin)
+                s = x[i] @ vectors.T
+                if float(norms[i].max()) * high > 60.0**2:  # else exp stays in range
+                    s -= s.max(axis=1, keepdims=True)
+                mine = s[np.arange(len(i)), own[i] - o.heads - begin].astype(np.float64)
+                out[i] += (mine - np.log(np.exp(s, out=s).sum(axis=1))) / np.log(10)
         return out
 
 

@@ -170,6 +170,12 @@ def test_language_against_exact_sets(spark):
     assert few.languages == ["aa", "bb"]
 
 
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    docs = frame(spark, ["same words here"] * 6, {i: "ba"[i % 2] * 2 for i in range(6)})
+    got = langid.predict(docs, langid.fit(docs)).collect()
+    assert {(r["lang_pred"], r["lead"]) for r in got} == {("aa", 0.0)} and len(got) == 6
+
+
 def test_false_positives_are_taken_off():
     rng = np.random.default_rng(0)
     masks = rng.integers(0, 256, (2, 1 << 10)).astype(np.uint8)
@@ -315,6 +321,8 @@ def test_components_of_a_path(spark):
     got = {r["node"]: r["label"] for r in graph.components(edges).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 90: 90, 100: 90}
     assert graph.components(edges.filter("a < 0")).count() == 0
+    odd = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (None, 3), (4, None), (5, 5)], "a long, b long")
+    assert {r["node"]: r["label"] for r in graph.components(odd).collect()} == {1: 1, 2: 1}
 
 
 # ---- repeated passages
