@@ -381,13 +381,11 @@ def q_edge_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
     + MEMBERS
     + """, s AS (SELECT row_id, family_id, count(*) OVER (PARTITION BY family_id) AS family_rows, p_size / 50.0 AS score, p_name, p_size FROM m JOIN part ON p_partkey = row_id),
 i AS (SELECT *, unnest(list_filter([CASE WHEN length(p_name) > 8 THEN 'too long' END, CASE WHEN p_size < 10 THEN 'too small' END], lambda x: x IS NOT NULL)) AS issue FROM s)
-SELECT row_id, family_id, family_rows, issue, round((1 - score) * family_rows, 3) AS review_value, row_number() OVER (ORDER BY round((1 - score) * family_rows, 3) DESC, row_id, issue) AS nth FROM i"""
+SELECT row_id, family_id, family_rows, issue, round((1 - score) * family_rows, 3) AS review_value FROM i"""
 )
 def q_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue with its order, as rows are told."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_size") / 50.0).alias("score"), F.array_compact(F.array(F.when(F.length("p_name") > 8, "too long"), F.when(F.col("p_size") < 10, "too small"))).alias("issues"))
-    queue = review.queue(p.join(members(spark, sf_dir), "row_id"), "family_id", "score", F.col("issues")).select("row_id", "family_id", "family_rows", "issue", "review_value")
-    return vocabulary.numbered(queue.withColumn("_all", F.lit(1)), ["_all"], [F.desc("review_value"), F.col("row_id"), F.col("issue")]).drop("_all").withColumn("nth", F.col("nth").cast("long"))
+    return review.queue(p.join(members(spark, sf_dir), "row_id"), "family_id", "score", F.col("issues")).select("row_id", "family_id", "family_rows", "issue", "review_value")
 
 
 @query("SELECT s_suppkey AS row_id, unnest(['s_name', 's_nationkey', 's_acctbal']) AS \"column\", unnest([s_name, s_nationkey::VARCHAR, s_acctbal::INT::VARCHAR]) AS value, 'input' AS method FROM supplier")
