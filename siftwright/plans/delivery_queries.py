@@ -310,6 +310,23 @@ def q_sheet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row_id", "status", F.array_join(F.transform("violations", lambda v: F.concat(v["column"], F.lit(":"), v["severity"])), ",").alias("found"))
 
 
+@query(
+    "WITH "
+    + MEMBERS
+    + """ SELECT count(*) AS rows, 0::BIGINT AS ready, count(*) AS blocked, count(DISTINCT family_id) AS families, 1.0::DOUBLE AS brand_rate, 0.0::DOUBLE AS classified_rate, 1.0::DOUBLE AS invoice_compliance, 0.0::DOUBLE AS mobile_compliance, 1.0::DOUBLE AS mobile_data_limited, 0.0::DOUBLE AS mobile_composition_short, avg(p_size / 50.0) AS mean_score FROM m JOIN part ON p_partkey = row_id"""
+)
+def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over delivered rows: none has a classpath here, and no mobile line reaches its window."""
+    score = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_size") / 50.0).alias("score"))
+    judged = delivery.checked(_sheet_rows(spark, sf_dir).join(score, "row_id")).join(members(spark, sf_dir), "row_id")
+    return review.run_report(judged).select("rows", "ready", "blocked", "families", "brand_rate", "classified_rate", "invoice_compliance", "mobile_compliance", "mobile_data_limited", "mobile_composition_short", "mean_score")
+
+
+@query("SELECT unnest(['CG-TAX-01', 'CG-MOB-01']) AS rule, count(*) AS n FROM part")
+def q_violation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.counts(delivery.checked(_sheet_rows(spark, sf_dir).withColumn("score", F.lit(0.9))), "violations", "rule")
+
+
 # ---- models
 
 
