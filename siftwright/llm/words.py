@@ -37,11 +37,13 @@ def _powers(point: int) -> np.ndarray:
 
 
 def _power(point: int, at: np.ndarray) -> np.ndarray:
-    up, far = _powers(point), _powers(int(_powers(point)[BLOCK]))
+    """point ** at, digit by digit to the base BLOCK."""
     at = at.astype(np.int64)
-    if len(at) and int(at.max()) >= BLOCK * BLOCK:
-        raise ValueError("a text of more than 268 million words or bytes")
-    return up[at % BLOCK] * far[at // BLOCK] % PRIME
+    out = _powers(point)[at % BLOCK]
+    while len(at) and int((at := at // BLOCK).max()):
+        point = int(_powers(point)[BLOCK])
+        out = out * _powers(point)[at % BLOCK] % PRIME
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -374,6 +374,8 @@ def test_hashes_do_not_depend_on_what_is_around_or_on_blocks(monkeypatch):
     alone = [words.hashes(pa.array([w]))[0][0] for w in text.split()]
     assert words.hashes(pa.array(["some first", text]))[0][2:].tolist() == alone
     h = np.array(alone)
+    far = np.array([0, 5, words.BLOCK, words.BLOCK**2, 7 * words.BLOCK**2 + 3])
+    assert words._power(12345, far).tolist() == [pow(12345, int(e), int(words.PRIME)) for e in far]
     at = np.arange(2900)
     whole = words.prints(h, at, at + 100)
     monkeypatch.setattr(words, "GROUP", words.BLOCK)
