@@ -83,11 +83,11 @@ _SURE = "least(0.95, 0.72 + least(0.2, ln(1 + n) / 25) + 0.04 * (n_words - 1) +
 WITH p AS (SELECT p_partkey, p_name, {NOUN} AS noun FROM part), one AS (SELECT noun AS gram, count(*) AS n FROM p GROUP BY 1), two AS (SELECT p_name AS gram, count(*) AS n FROM p GROUP BY 1 HAVING count(*) >= 2),
 g AS (SELECT p_partkey AS row_id, CASE WHEN noun IN ('ring', 'gizmo') THEN noun WHEN two.gram IS NOT NULL THEN p_name ELSE noun END AS matched, noun IN ('ring', 'gizmo') AS seeded, CASE WHEN noun IN ('ring', 'gizmo') OR two.gram IS NULL THEN one.n ELSE two.n END AS n, CASE WHEN noun IN ('ring', 'gizmo') OR two.gram IS NULL THEN 1 ELSE 2 END AS n_words
   FROM p JOIN one ON one.gram = noun LEFT JOIN two ON two.gram = p_name)
-SELECT row_id, matched, n::BIGINT AS n, {_SURE}::DOUBLE AS confidence FROM g"""
+SELECT row_id, matched, n::BIGINT AS n, round({_SURE}, 6)::DOUBLE AS confidence FROM g"""
 )
 def q_item_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "row_id")
-    return item_types.resolved(p, "p_name", item_types.mined(p, "p_name", ["ring", "gizmo"])).select("row_id", "matched", "n", "confidence")
+    return item_types.resolved(p, "p_name", item_types.mined(p, "p_name", ["ring", "gizmo"])).select("row_id", "matched", "n", F.round("confidence", 6).alias("confidence"))
 
 
 @query("SELECT n_nationkey, n_name AS word, length(n_name) >= 3 AND regexp_matches(lower(n_name), '[aeiouy]') AS plausible FROM nation UNION ALL SELECT 100 + i, w, w IN ('grommet', 'Anvil') FROM (SELECT unnest(['grommet', 'Anvil', 'xl', 'mw', 'kit', 'LED', 'brtk', 'ab']) AS w, unnest(range(8)) AS i)")
@@ -205,13 +205,13 @@ def q_specs_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH p AS (SELECT p_type, p_brand AS l, min(p_partkey) AS x FROM part WHERE p_size <= 25 GROUP BY ALL), t AS (SELECT p_type, p_brand AS l, min(p_size) * 1000 + min(p_partkey) % 1000 AS x FROM part WHERE p_size > 20 GROUP BY ALL),
 b AS (SELECT t.p_type, t.l, t.x AS a, p.x AS b FROM t JOIN p ON t.p_type = p.p_type AND t.l = p.l), q AS (SELECT u.p_type, count(*) AS n, count(*) FILTER (v.b > u.b) AS same FROM b u JOIN b v ON u.p_type = v.p_type AND (u.a < v.a OR (u.a = v.a AND u.b < v.b)) GROUP BY 1)
-SELECT k.p_type, CASE WHEN coalesce(n, 0) > 0 THEN same::DOUBLE / n ELSE 1.0 END AS order_agreement FROM (SELECT DISTINCT p_type FROM t) k LEFT JOIN q USING (p_type)"""
+SELECT k.p_type, round(CASE WHEN coalesce(n, 0) > 0 THEN same::DOUBLE / n ELSE 1.0 END, 6)::DOUBLE AS order_agreement FROM (SELECT DISTINCT p_type FROM t) k LEFT JOIN q USING (p_type)"""
 )
 def q_order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     predicted = p.filter("p_size <= 25").groupBy("p_type", "p_brand").agg(F.min("p_partkey").alias("x"))
     truth = p.filter("p_size > 20").groupBy("p_type", "p_brand").agg((F.min("p_size") * 1000 + F.min("p_partkey") % 1000).alias("x"))
-    return specs.order_agreement(predicted, truth, "p_type", "p_brand", "x")
+    return specs.order_agreement(predicted, truth, "p_type", "p_brand", "x").withColumn("order_agreement", F.round("order_agreement", 6))
 
 
 @query("WITH c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_name) AS k FROM c), g AS (SELECT p_brand, count(*) AS n_values, sum(n)::BIGINT AS mentions, string_agg(p_name, ',' ORDER BY k) FILTER (k <= 5) AS examples FROM r GROUP BY 1) SELECT * FROM g ORDER BY mentions DESC, p_brand LIMIT 15")
@@ -296,7 +296,7 @@ def q_delivery_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + _LINES
-    + """, c AS (SELECT row_id, unnest(['Part_Desc', 'Class', 'BRAND_NAME', 'Product Name', 'ATTRIBUTE_LABEL 1', 'ATTRIBUTE_VALUE 2']) AS "column", unnest([p_name, CASE WHEN p_size % 2 = 0 THEN p_type END, brand, noun, 'Grit', finish]) AS value, unnest(['input', 'input', 'rule', 'rule', 'spec', 'rule']) AS method, unnest([0.99, 0.99, 0.9, 0.9, 0.9, 0.9])::DOUBLE AS confidence FROM x JOIN part ON p_partkey = row_id)
+    + """, c AS (SELECT row_id, unnest(['Part_Desc', 'Class', 'BRAND_NAME', 'Product Name', 'ATTRIBUTE_LABEL 1', 'ATTRIBUTE_VALUE 2']) AS "column", unnest([p_name, CASE WHEN p_size % 2 = 0 THEN p_type END, brand, noun, 'Grit', finish]) AS value, unnest(['input', 'input', 'rule', 'rule', 'spec', 'rule']) AS method, unnest([0.99, 0.99, 0.9, 0.9, 0.9, 0.9]::DOUBLE[]) AS confidence FROM x JOIN part ON p_partkey = row_id)
 SELECT * FROM c WHERE value IS NOT NULL"""
 )
 def q_cell_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,13 +313,13 @@ def q_sheet_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "WITH "
     + MEMBERS
-    + """ SELECT count(*) AS rows, 0::BIGINT AS ready, count(*) AS blocked, count(DISTINCT family_id) AS families, 1.0::DOUBLE AS brand_rate, 0.0::DOUBLE AS classified_rate, 1.0::DOUBLE AS invoice_compliance, 0.0::DOUBLE AS mobile_compliance, 1.0::DOUBLE AS mobile_data_limited, 0.0::DOUBLE AS mobile_composition_short, avg(p_size / 50.0) AS mean_score FROM m JOIN part ON p_partkey = row_id"""
+    + """ SELECT count(*) AS rows, 0::BIGINT AS ready, count(*) AS blocked, count(DISTINCT family_id) AS families, 1.0::DOUBLE AS brand_rate, 0.0::DOUBLE AS classified_rate, 1.0::DOUBLE AS invoice_compliance, 0.0::DOUBLE AS mobile_compliance, 1.0::DOUBLE AS mobile_data_limited, 0.0::DOUBLE AS mobile_composition_short, round(avg(p_size / 50.0), 6) AS mean_score FROM m JOIN part ON p_partkey = row_id"""
 )
 def q_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report over delivered rows: none has a classpath here, and no mobile line reaches its window."""
     score = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_id"), (F.col("p_size") / 50.0).alias("score"))
     judged = delivery.checked(_sheet_rows(spark, sf_dir).join(score, "row_id")).join(members(spark, sf_dir), "row_id")
-    return review.run_report(judged).select("rows", "ready", "blocked", "families", "brand_rate", "classified_rate", "invoice_compliance", "mobile_compliance", "mobile_data_limited", "mobile_composition_short", "mean_score")
+    return review.run_report(judged).select("rows", "ready", "blocked", "families", "brand_rate", "classified_rate", "invoice_compliance", "mobile_compliance", "mobile_data_limited", "mobile_composition_short", F.round("mean_score", 6).alias("mean_score"))
 
 
 @query("SELECT unnest(['CG-TAX-01', 'CG-MOB-01']) AS rule, count(*) AS n FROM part")
@@ -415,13 +415,14 @@ def q_corrections_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH t AS (SELECT unnest(['p_brand', 'p_name']) AS c, unnest([CASE WHEN p_partkey % 5 = 0 THEN '' ELSE upper(p_brand) END, p_name]) AS p, unnest([p_brand, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END]) AS t FROM part),
 s AS (SELECT c, count(*) AS n, count(*) FILTER (p = t) AS exact, count(*) FILTER (lower(p) = lower(t)) AS norm FROM t GROUP BY 1), u AS (SELECT 'overall' AS part, * FROM s UNION ALL SELECT CASE WHEN c = 'p_brand' THEN 'retrieval_dependent' ELSE 'in_scope' END, * FROM s)
-SELECT part, sum(n)::BIGINT AS scored, sum(exact)::DOUBLE / sum(n) AS exact, sum(norm)::DOUBLE / sum(n) AS normalised, sum(norm)::DOUBLE / sum(n) AS token_f1 FROM u GROUP BY 1"""
+SELECT part, sum(n)::BIGINT AS scored, round(sum(exact)::DOUBLE / sum(n), 6) AS exact, round(sum(norm)::DOUBLE / sum(n), 6) AS normalised, round(sum(norm)::DOUBLE / sum(n), 6) AS token_f1 FROM u GROUP BY 1"""
 )
 def q_eval_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     predicted = p.select("p_partkey", F.when(F.col("p_partkey") % 5 == 0, "").otherwise(F.upper("p_brand")).alias("p_brand"), "p_name")
     truth = p.select("p_partkey", "p_brand", F.when(F.col("p_partkey") % 7 == 0, "").otherwise(F.col("p_name")).alias("p_name"))
-    return review.overall(review.field_scores(predicted, truth, "p_partkey", ["p_brand", "p_name"]), ("p_brand",))
+    scores = review.overall(review.field_scores(predicted, truth, "p_partkey", ["p_brand", "p_name"]), ("p_brand",))
+    return scores.select("part", "scored", *[F.round(c, 6).alias(c) for c in ("exact", "normalised", "token_f1")])
 
 
 @query("SELECT p_name, p_brand FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 5 <> 0")

@@ -485,10 +485,10 @@ def q_setops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.scored(p.filter("p_size <= 25"), p.filter("p_size > 20"), "p_type", "p_brand").select("p_type", "hits", "missed", "extra")
 
 
-@query("SELECT p_partkey AS row_id, (3 * 0.9 + 0.5 + (p_size % 5) / 10.0)::DOUBLE / 4 AS score, 4::BIGINT AS n_facts FROM part")
+@query("SELECT p_partkey AS row_id, round((3 * 0.9 + 0.5 + (p_size % 5) / 10.0)::DOUBLE / 4, 6) AS score, 4::BIGINT AS n_facts FROM part")
 def q_row_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     varied = F.when(F.col("key") == "size", 0.5 + F.col("value").try_cast("int") % 5 / 10.0).otherwise(F.col("confidence"))
-    return facts.row_scores(part_facts(spark, sf_dir).withColumn("confidence", varied))
+    return facts.row_scores(part_facts(spark, sf_dir).withColumn("confidence", varied)).withColumn("score", F.round("score", 6))
 
 
 @query(
