@@ -99,14 +99,21 @@ def q_extract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "raw", "start", "end")
 
 
-@query()
+@query(
+    """
+WITH t AS (SELECT p_partkey, p_name || ' ' AS a, p_size || '"x1/8"x1"' AS chain, (p_size + 12) || 'V' AS volts, p_type FROM part),
+f AS (SELECT p_partkey, unnest(['dimensions', 'voltage', 'base_type', 'pack_quantity', 'platform']) AS key, unnest([replace(replace(chain, 'x', ' in x '), '"', '') || ' in', replace(volts, 'V', ''), CASE WHEN p_type = 'MEDIUM' THEN 'MEDIUM' END, '3', CASE WHEN volts = '18V' THEN '18V' END]) AS value, unnest(['', 'V', '', '', '']) AS uom,
+  unnest(['Size', 'Voltage Rating', 'Base Type', 'Pack Quantity', 'Battery Platform']) AS label, unnest(['DIM-CHN-01', 'ELE-V-01', 'LMP-BAS-01', 'PKG-PK-01', 'TOL-PLT-01']) AS rule_id, unnest([20, 25, 31, 40, 26]) AS priority, unnest([chain, volts, 'MEDIUM', '3pk', volts]) AS raw,
+  unnest([length(a), length(a || chain) + 1, length(a || chain || volts) + 2, length(a || chain || volts || p_type) + 3, length(a || chain) + 1]) AS start FROM t)
+SELECT p_partkey, key, value, uom, label, rule_id, priority, raw, start::INT AS start, (start + length(raw))::INT AS "end" FROM f WHERE value IS NOT NULL"""
+)
 def q_extract_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All extraction rules over composed descriptions; lookarounds have no counterpart in the oracle's regular expressions."""
+    """All extraction rules over composed descriptions, whose facts are known from how they are composed."""
     d = table(spark, sf_dir, "part").select("p_partkey", F.format_string('%s %d"x1/8"x1" %dV %s 3pk', F.col("p_name"), F.col("p_size"), F.col("p_size") + 12, F.col("p_type")).alias("text"))
     return d.select("p_partkey", F.inline(extract.facts(F.col("text"))))
 
 
-@query()
+@query("SELECT p_partkey, p_name || ' -' || CASE WHEN p_type = 'MEDIUM' THEN '' ELSE ' ' || p_type END AS residual FROM part")
 def q_span_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "part").select("p_partkey", F.format_string('%s %d"x1/8"x1" %dV w/%s', F.col("p_name"), F.col("p_size"), F.col("p_size") + 12, F.col("p_type")).alias("text"))
     return d.select("p_partkey", extract.residual(F.col("text"), extract.facts(F.col("text"))).alias("residual"))
