@@ -12,8 +12,8 @@ Training contrasts outputs, and words among words, with noise drawn from their f
 fitted on the triples of ``PILOT`` texts. Then every training text is read: in each of ``ROUNDS`` rounds, tasks train on their share of
 the texts, and the changes of each vector are averaged over the tasks, weighted by how often they touched it.
 
-Counts of words are exact for the whole corpus and live in a table keyed by 64-bit hashes. The ``KNOWN`` most frequent travel with the
-scoring task; the others are joined.
+Counts of words are exact for the whole corpus and live in a table keyed by 64-bit hashes. Those of the vocabulary, and of the most
+frequent words, ``KNOWN`` at most, travel with the scoring task; the others are joined.
 
 Defined cases: null and empty texts have the end as their only token; repeated rows count and are scored as rows; without training
 texts, base and model give the end probability 1; an empty table gives an empty result; further columns are ignored.
@@ -478,19 +478,23 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     counted = stored(count_words(training))
     sums = counted.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"]
-    top = counted.orderBy(F.desc("n"), "h").limit(KNOWN).toPandas()
-    hashes, counts = top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    # how many words each step of counts has: some hundred rows, whatever the corpus
+    step = F.floor(F.log2("n") * 16)
+    steps = sorted(map(tuple, counted.groupBy(step.alias("step")).agg(F.count(F.lit(1))).collect()), reverse=True)
+    fits = np.cumsum([n for _, n in steps]) <= KNOWN
+    lowest = steps[int(fits.sum()) - 1][0] if fits.any() else np.inf
+    least = max(LEAST, OF_ROOT * n_all**0.5)
+    known = counted.filter((step >= float(lowest)) | (F.col("n") >= least) | (F.col("h") == int(END))).select("h", "tail", "n").toArrow()
+    hashes, tails, counts = (known.column(i).to_numpy().astype(np.int64) for i in range(3))
+    order = np.lexsort((hashes, -counts))
+    hashes, tails, counts = hashes[order], tails[order], counts[order]
     # the end first, then words by count: all of LEAST and more, HEAD - 1 at least
-    end = F.col("h") == int(END)
-    own = counted.filter(~end & (F.col("n") >= max(LEAST, OF_ROOT * n_all**0.5))).toPandas()
-    if len(own) < HEAD - 1:
-        own = top[top["h"] != int(END)][: HEAD - 1]
-    own = own.sort_values(["n", "h"], ascending=[False, True])
-    ends = counted.filter(end).agg(F.sum("n")).first()[0] or 0
-    vocabulary = np.concatenate([[END], own["h"].to_numpy(np.int64).view(np.uint64)]).astype(np.uint64)
-    own_counts, own_tails = (np.concatenate([[x], own[c].to_numpy(np.int64)]).astype(np.int64) for x, c in ((ends, "n"), (0, "tail")))
-    if len(vocabulary) > len(hashes):
-        hashes, counts = vocabulary, own_counts
+    is_end = hashes.view(np.uint64) == END
+    words_ = np.flatnonzero(~is_end)
+    own = words_[: max(int((counts[words_] >= least).sum()), HEAD - 1)]
+    vocabulary = np.concatenate([[END], hashes[own].view(np.uint64)]).astype(np.uint64)
+    own_counts, own_tails = np.concatenate([[counts[is_end].sum()], counts[own]]), np.concatenate([[0], tails[own]])
+    hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
     outputs = Outputs(vocabulary, min(HEAD, len(vocabulary)), hashes[order], counts[order])
     # size and number of words of each tail class, words of the vocabulary not among them
