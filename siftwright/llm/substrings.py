@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwright.llm import words
@@ -326,28 +326,28 @@ def removed(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     found = repeats(docs, span, gram).groupBy(F.col("doc_id").alias("d")).agg(*(F.collect_list(c).alias(c) for c in ("pos", "n", "print")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
-    def gone(texts: pa.Array, lists: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
-        """For each word of all texts whether it goes; and each text's number of words. Windows of another row of an id, known by their print, don't count."""
+    def gone(texts: pa.Array, lists: list[pa.Array], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word of all texts whether it goes; and each text's number of words. Where an id has several rows, windows of another one, known by their print, don't count."""
         pos, n, prints = (x.flatten().to_numpy() for x in lists)
-        if len(pos):
-            h, counts = words.hashes(texts)
-        else:
-            counts = words.bounds(texts)[3]
+        counts = words.bounds(texts)[3]
         change = np.zeros(int(counts.sum()) + 1, np.int64)
         if len(pos):
             doc = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(lists[0]), 0).to_numpy(zero_copy_only=False))
-            fits = np.flatnonzero(pos + n + span - 1 <= counts[doc])
+            fits = pos + n + span - 1 <= counts[doc]
+            if (several := np.flatnonzero(rows > 1)).size:
+                h, few = words.hashes(texts.take(pa.array(several)))
+                own = np.flatnonzero(fits & (rows[doc] > 1))
+                start = (np.cumsum(few) - few)[np.searchsorted(several, doc[own])] + pos[own]
+                fits[own] = words.prints(h, start, start + n[own] + span - 1)[0].view(np.int64) == prints[own]
             start = (np.cumsum(counts) - counts)[doc[fits]] + pos[fits]
-            end = start + n[fits] + span - 1
-            same = words.prints(h, start, end)[0].view(np.int64) == prints[fits]
-            np.add.at(change, start[same], 1)
-            np.add.at(change, end[same], -1)
+            np.add.at(change, start, 1)
+            np.add.at(change, start + n[fits] + span - 1, -1)
         return np.cumsum(change[:-1]) > 0, counts
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.in_parts(batch, 1):
-                lost, counts = gone(b.column(1), b.columns[2:])
+                lost, counts = gone(b.column(1), b.columns[2:5], b.column(5).to_numpy())
                 ends = np.cumsum(counts)
                 removed = np.diff(np.concatenate([[0], np.cumsum(lost)])[np.concatenate([[0], ends])])
                 bodies = []
@@ -361,5 +361,8 @@ def removed(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
 
     ship(docs.sparkSession)
     texts = docs.select("doc_id", text_or_empty().alias("text"))
-    joined = texts.join(found, texts["doc_id"] == found["d"], "left").select("doc_id", "text", "pos", "n", "print")
+    named = texts.filter("doc_id IS NOT NULL")
+    # the join has sorted rows by id; those without one have nothing to join
+    joined = named.join(found, named["doc_id"] == found["d"], "left").withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).select("doc_id", "text", "pos", "n", "print", "rows")
+    joined = joined.unionByName(texts.filter("doc_id IS NULL").withColumn("rows", F.lit(1).cast("long")), allowMissingColumns=True)
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", F.decode("kept", "UTF-8"))

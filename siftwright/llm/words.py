@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PRIME = np.uint64((1 << 31) - 1)
+PRIME, _BITS = np.uint64((1 << 31) - 1), np.uint64(31)
 #: Points of the polynomials over bytes and over words.
 BYTE_POINTS, WORD_POINTS = (0x3C6EF372, 0x54FF53A5), (0x1B873593, 0x4CC9E2D5, 0x27D4EB2F, 0x165667B1)
 #: Powers kept of a point; values summed up at a time.
@@ -36,13 +36,20 @@ def _powers(point: int) -> np.ndarray:
     return out
 
 
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, by adding what lies above 31 bits."""
+    x = (x & PRIME) + (x >> _BITS)
+    x = (x & PRIME) + (x >> _BITS)
+    return x - PRIME * (x >= PRIME)
+
+
 def _power(point: int, at: np.ndarray) -> np.ndarray:
     """point ** at, digit by digit to the base BLOCK."""
     at = at.astype(np.int64)
     out = _powers(point)[at % BLOCK]
     while len(at) and int((at := at // BLOCK).max()):
         point = int(_powers(point)[BLOCK])
-        out = out * _powers(point)[at % BLOCK] % PRIME
+        out = _mod(out * _powers(point)[at % BLOCK])
     return out
 
 
@@ -68,10 +75,11 @@ def _sums(values: np.ndarray, point: int, places: np.ndarray) -> np.ndarray:
         grid = grid.reshape(-1, width)
         grid *= up[:width]
         if values.dtype != np.uint8:
-            grid %= PRIME
+            # below 2^32, so that a block's sum stays below 2^46
+            grid = (grid & PRIME) + (grid >> _BITS)
         np.cumsum(grid, axis=1, out=grid)
         factors, offsets = np.empty(len(grid), np.uint64), np.empty(len(grid), np.uint64)
-        for b, total in enumerate((grid[:, -1] % PRIME).tolist()):
+        for b, total in enumerate(_mod(grid[:, -1]).tolist()):
             factors[b], offsets[b] = factor, before
             before = (before + factor * total) % int(PRIME)
             factor = factor * step % int(PRIME)
@@ -82,14 +90,14 @@ def _sums(values: np.ndarray, point: int, places: np.ndarray) -> np.ndarray:
             mine = order[a:z]
         last = places[mine] - (lo + 1)
         block = last // width
-        out[mine] = (offsets[block] + factors[block] * (grid.reshape(-1)[last] % PRIME)) % PRIME
+        out[mine] = _mod(offsets[block] + factors[block] * _mod(grid.reshape(-1)[last]))
     return out
 
 
 def _polynomials(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, point: int) -> np.ndarray:
     """Of values[start:end] for each range."""
     sums = _sums(values, point, np.concatenate([starts, ends]))
-    return (sums[len(starts) :] + PRIME - sums[: len(starts)]) % PRIME * _power(pow(point, -1, int(PRIME)), starts) % PRIME
+    return _mod(_mod(sums[len(starts) :] + PRIME - sums[: len(starts)]) * _power(pow(point, -1, int(PRIME)), starts))
 
 
 def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -97,8 +105,8 @@ def _pair(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _lane(words: np.ndarray, i: int) -> np.ndarray:
-    """Words as values below the prime, for each point others."""
-    return mix(words ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) % PRIME
+    """Words as values of 31 bits, for each point others."""
+    return mix(words ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(33)
 
 
 def of_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
