@@ -33,8 +33,8 @@ from siftwright.llm import words
 from siftwright.llm.common import ship, stored, text_or_empty
 
 HEAD, TAIL, KNOWN = 32, 32, 500_000
-#: The end's hash.
-END = np.uint64(1)
+#: The end's hash; the bits of a hash that are its tail class.
+END, _TAILS = np.uint64(1), np.uint64(TAIL - 1)
 DIM = 32
 #: Least count of a word with vectors of its own, and its share of the square root of the corpus's tokens if that is more; texts of
 #: the pilot; shares of the texts between averages.
@@ -50,45 +50,44 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and tail class of each token, an end after each text; and the number of tokens of each text."""
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token, its tail class in the low bits, an end after each text; and the number of tokens of each text."""
     data, starts, ends, counts = words.bounds(texts)
     low = _LOWER[data]
-    h = words.of_bytes(low, starts, ends)
-    last = low[ends - 1] % TAIL if len(ends) else np.zeros(0, np.uint8)
+    h = words.of_bytes(low, starts, ends) & ~_TAILS
+    if len(ends):
+        h |= low[ends - 1] & np.uint8(TAIL - 1)
     with_end = counts + 1
     total = int(with_end.sum())
+    tokens = np.full(total, END)
     is_end = np.zeros(total, bool)
     is_end[np.cumsum(with_end) - 1] = True
-    tokens, tails = np.full(total, END), np.zeros(total, np.uint8)
-    tokens[~is_end], tails[~is_end] = h, last
-    return tokens, tails, with_end
+    tokens[~is_end] = h
+    return tokens, with_end
 
 
 def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """h, tail, n: how often each token occurs. Tasks add up before they pass on, holding some ``most`` words at a time."""
-    schema = pa.schema([("h", pa.int64()), ("tail", pa.int32()), ("n", pa.int64())])
+    """h, n: how often each token occurs. Tasks add up before they pass on, holding some ``most`` words at a time."""
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, tail, n = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(h, kind="stable")
-            h, tail, n = h[order], tail[order], n[order]
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            h, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.argsort(h)
+            h, n = h[order], n[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            return h[first], tail[first], np.add.reduceat(n, first)
+            return h[first], np.add.reduceat(n, first)
 
-        def out(h: np.ndarray, tail: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(n)], schema=schema)
+        def out(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
 
         for batch in batches:
-            for b in words.in_parts(batch, 0):
-                tokens, tails, _ = _tokens(b.column(0))
-                h, first, n = np.unique(tokens, return_index=True, return_counts=True)
-                held.append((h, tails[first], n))
-                size += len(h)
+            for b in words.in_parts(batch, 0, 2 * words.AT_A_TIME):
+                held.append(np.unique(_tokens(b.column(0))[0], return_counts=True))
+                size += len(held[-1][0])
                 if size > most:
                     held = [merged()]
                     size = len(held[0][0])
@@ -99,7 +98,7 @@ def count_words(docs: DataFrame, most: int = 1_000_000) -> DataFrame:
             yield out(*merged())
 
     ship(docs.sparkSession)
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -136,9 +135,9 @@ class Outputs:
     def size(self) -> int:
         return self.heads + self.classes + TAIL
 
-    def place(self, tokens: np.ndarray, tails: np.ndarray) -> np.ndarray:
+    def place(self, tokens: np.ndarray) -> np.ndarray:
         """Rank in the vocabulary; for rarer words the size of the vocabulary and the tail class."""
-        out = len(self.vocabulary) + tails.astype(np.int64)
+        out = len(self.vocabulary) + (tokens & _TAILS).astype(np.int64)
         begin = self.first[(tokens >> self.shift).astype(np.int64)]
         left = np.arange(len(tokens))
         for i in range(self.most):
@@ -185,9 +184,9 @@ def count_triples(docs: DataFrame, outputs: Outputs) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in words.in_parts(batch, 0):
-                tokens, tails, sizes = _tokens(b.column(0))
+                tokens, sizes = _tokens(b.column(0))
                 if len(tokens):
-                    o = outputs.of(outputs.place(tokens, tails))
+                    o = outputs.of(outputs.place(tokens))
                     two, one = _contexts(o, sizes)
                     found, n = np.unique((two * k + one) * k + o, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], schema=schema)
@@ -434,8 +433,8 @@ def improve(model: Model, docs: DataFrame, repeat: int, tasks: int) -> None:
             held, size = [], 0
             for batch in batches:
                 for b in words.in_parts(batch, 0):
-                    tokens, tails, sizes = _tokens(b.column(0))
-                    held.append((o.place(tokens, tails), sizes))
+                    tokens, sizes = _tokens(b.column(0))
+                    held.append((o.place(tokens), sizes))
                     size += len(tokens)
                     if size >= CHUNK:
                         yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
@@ -484,21 +483,21 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     fits = np.cumsum([n for _, n in steps]) <= KNOWN
     lowest = steps[int(fits.sum()) - 1][0] if fits.any() else np.inf
     least = max(LEAST, OF_ROOT * n_all**0.5)
-    known = counted.filter((step >= float(lowest)) | (F.col("n") >= least) | (F.col("h") == int(END))).select("h", "tail", "n").toArrow()
-    hashes, tails, counts = (known.column(i).to_numpy().astype(np.int64) for i in range(3))
+    known = counted.filter((step >= float(lowest)) | (F.col("n") >= least) | (F.col("h") == int(END))).select("h", "n").toArrow()
+    hashes, counts = (known.column(i).to_numpy().astype(np.int64) for i in range(2))
     order = np.lexsort((hashes, -counts))
-    hashes, tails, counts = hashes[order], tails[order], counts[order]
+    hashes, counts = hashes[order], counts[order]
     # the end first, then words by count: all of LEAST and more, HEAD - 1 at least
     is_end = hashes.view(np.uint64) == END
     words_ = np.flatnonzero(~is_end)
     own = words_[: max(int((counts[words_] >= least).sum()), HEAD - 1)]
     vocabulary = np.concatenate([[END], hashes[own].view(np.uint64)]).astype(np.uint64)
-    own_counts, own_tails = np.concatenate([[counts[is_end].sum()], counts[own]]), np.concatenate([[0], tails[own]])
+    own_counts, own_tails = np.concatenate([[counts[is_end].sum()], counts[own]]), (vocabulary & _TAILS).astype(np.int64)
     hashes = hashes.view(np.uint64)
     order = np.argsort(hashes)
     outputs = Outputs(vocabulary, min(HEAD, len(vocabulary)), hashes[order], counts[order])
     # size and number of words of each tail class, words of the vocabulary not among them
-    by_tail = {r["tail"]: (r["n"], r["v"]) for r in counted.groupBy("tail").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    by_tail = {r["tail"]: (r["n"], r["v"]) for r in counted.groupBy(F.col("h").bitwiseAND(TAIL - 1).alias("tail")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     class_n, class_v = (np.array([by_tail.get(i, (0, 0))[j] for i in range(TAIL)], np.int64) for j in (0, 1))
     class_n -= np.bincount(own_tails, own_counts, TAIL).astype(np.int64)
     class_v -= np.bincount(own_tails, own_counts > 0, TAIL).astype(np.int64)
@@ -526,8 +525,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
         rid = TaskContext.get().partitionId() << 40
         for batch in batches:
             for b in words.in_parts(batch, 2, 2 * words.AT_A_TIME):
-                tokens, tails, sizes = _tokens(b.column(2))
-                o = outputs.place(tokens, tails)
+                tokens, sizes = _tokens(b.column(2))
+                o = outputs.place(tokens)
                 two, one = _contexts(o, sizes)
                 c = outputs.count(tokens, o)
                 rare = c < 0
