@@ -43,18 +43,43 @@ LEAST, OF_ROOT, PILOT, ROUNDS = 100, 0.01, 2_000, 2
 TASK, TASKS = 8_000_000, 4
 #: Tokens that a task holds, whose steps it shuffles; tokens of a step; a small corpus is repeated until about so many tokens are seen, AT_MOST times.
 CHUNK, BATCH, ENOUGH, AT_MOST = 131_072, 2_048, 10_000_000, 12
-#: Rows of parameters that travel together.
-BLOCK = 64
+#: Rows of parameters that travel together; scores taken at a time, as many as stay in a core's cache.
+BLOCK, AT_ONCE = 64, 1 << 17
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
+#: Words of more bytes are hashed by polynomials. Bits of the first bytes of eight; what the hash of a word of so many bytes begins with.
+LONG = 256
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_OF_SIZE = words.mix(np.arange(LONG + 1, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word, eight bytes at a time: most words are at an end after the first or the second."""
+    sizes = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = words.mix(_OF_SIZE[np.minimum(sizes, LONG)] ^ (eights[starts] & _FIRST[np.minimum(sizes, 8)]))
+    left = np.flatnonzero((sizes > 8) & (sizes <= LONG))
+    for i in range(8, LONG, 8):
+        if not len(left):
+            break
+        out[left] = words.mix(out[left] ^ (eights[starts[left] + i] & _FIRST[np.minimum(sizes[left] - i, 8)]))
+        left = left[sizes[left] > i + 8]
+    long = np.flatnonzero(sizes > LONG)
+    if len(long):
+        own = np.concatenate([data[a:z] for a, z in zip(starts[long], ends[long], strict=True)])
+        to = np.cumsum(sizes[long])
+        out[long] = words.of_bytes(own, to - sizes[long], to)
+    return out
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each token, its tail class in the low bits, an end after each text; and the number of tokens of each text."""
     data, starts, ends, counts = words.bounds(texts)
     low = _LOWER[data]
-    h = words.of_bytes(low, starts, ends) & ~_TAILS
+    h = _hashes(low, starts, ends) & ~_TAILS
     if len(ends):
         h |= low[ends - 1] & np.uint8(TAIL - 1)
     with_end = counts + 1
@@ -126,6 +151,7 @@ class Outputs:
         self.own_counts = self.counts[at] if len(self.known) else np.zeros(len(self.vocabulary), np.int64)
         # frequent words are in small classes
         self.edges = np.unique(np.ceil(words * (np.arange(n + 1) / max(n, 1)) ** 2).astype(np.int64)) if words else np.zeros(1, np.int64)
+        self.tops = np.concatenate([np.arange(self.heads), np.repeat(self.heads + np.arange(self.classes), np.diff(self.edges)), self.heads + self.classes + np.arange(TAIL)])
 
     @property
     def classes(self) -> int:
@@ -149,9 +175,7 @@ class Outputs:
         return out
 
     def of(self, places: np.ndarray) -> np.ndarray:
-        n = len(self.vocabulary)
-        inner = self.heads + np.searchsorted(self.edges, places - self.heads, "right") - 1
-        return np.where(places < self.heads, places, np.where(places < n, inner, self.heads + self.classes + places - n))
+        return self.tops[places]
 
     def count(self, tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
         """Of known tokens; -1 for others."""
@@ -196,11 +220,24 @@ def count_triples(docs: DataFrame, outputs: Outputs) -> DataFrame:
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sum of the values of each, and how many there are."""
+    """Distinct rows, the sum of the values of each, and how many there are.
+
+    Most rows occur once or a few times, and reduceat takes its time for each row, whatever there is to add; so it only gets the others."""
     order = np.argsort(rows)
     r = rows[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    return r[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(r)))
+    times = np.diff(np.append(first, len(r)))
+    total = values.take(order[first], axis=0)
+    often = times > 4
+    if often.any():
+        n = times[often]
+        total[often] = np.add.reduceat(values.take(order[np.repeat(often, times)], axis=0), np.cumsum(n) - n, axis=0)
+    left, i = np.flatnonzero((times > 1) & ~often), 1
+    while len(left):
+        total[left] += values.take(order[first[left] + i], axis=0)
+        i += 1
+        left = left[times[left] > i]
+    return r[first], total, times
 
 
 def fit(triples: np.ndarray, counts: np.ndarray, k: int, steps: int = 1500, batch: int = 4096, noise: int = 64, rate: float = 0.02, seed: int = 3) -> dict[str, np.ndarray]:
@@ -277,7 +314,14 @@ class Model:
         self.n_words = len(o.vocabulary) - o.heads
 
     def predicted(self, two: np.ndarray, one: np.ndarray) -> np.ndarray:
-        x = self.values[0] * self.values[2 + one] + self.values[1] * self.values[2 + two]
+        v = self.values
+        x = np.empty((len(one), v.shape[1]), v.dtype)
+        for lo in range(0, len(one), BATCH):
+            part = v.take(2 + one[lo : lo + BATCH], axis=0)
+            part *= v[0]
+            more = v.take(2 + two[lo : lo + BATCH], axis=0)
+            more *= v[1]
+            np.add(part, more, out=x[lo : lo + BATCH])
         x[:, -1] = 1
         return x
 
@@ -291,15 +335,21 @@ class Model:
         upto = [np.cumsum(x / x.sum()) for x in shares if len(x)]
         shift = np.concatenate([np.log(noise * x / x.sum()) for x in shares if len(x)]).astype(np.float32)
 
-        def contrast(x: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def contrast(x: np.ndarray, target: np.ndarray, kind: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
             start = kind * o.size
             bad = start + np.minimum(np.searchsorted(upto[kind], rng.random(noise)), len(upto[kind]) - 1)
-            out, out_bad = v[self.first_output + target], v[self.first_output + bad]
-            true = np.einsum("ij,ij->i", x, out) - shift[target]
-            false = x @ out_bad.T - shift[bad]
-            g = -1 / (1 + np.exp(np.clip(true, -30, 30)))
-            gf = 1 / (1 + np.exp(np.clip(-false, -30, 30)))
-            return g[:, None] * out + gf @ out_bad, np.concatenate([target, bad]), np.concatenate([g[:, None] * x, gf.T @ x])
+            out, out_bad = v.take(self.first_output + target, axis=0), v[self.first_output + bad]
+            g = np.einsum("ij,ij->i", x, out) - shift[target]
+            g = -1 / (1 + np.exp(np.clip(g, -30, 30)))
+            gf = x @ out_bad.T
+            np.subtract(shift[bad], gf, out=gf)
+            np.clip(gf, -30, 30, out=gf)
+            np.exp(gf, out=gf)
+            gf += 1
+            np.reciprocal(gf, out=gf)
+            out *= g[:, None]
+            out += gf @ out_bad
+            return out, [self.first_output + target, self.first_output + bad], [g[:, None] * x, gf.T @ x]
 
         for own, sizes in texts:
             top = o.of(own)
@@ -314,26 +364,33 @@ class Model:
                     if n < 1:
                         continue
                     places = 2 + before[i.start : i.stop + 1]
-                    both = v[places]
+                    both = v.take(places, axis=0)
                     r1, r2 = both[1:], both[:-1].copy()
                     r2[fresh] = r1[fresh]  # the end
-                    x = v[0] * r1 + v[1] * r2
+                    x = r2 * v[1]
+                    x += r1 * v[0]
                     x[:, -1] = 1
                     gp, rows, grads = contrast(x, top[i], 0)
                     inner = np.flatnonzero((own[i] >= o.heads) & (own[i] < len(o.vocabulary)))
                     if len(inner):
-                        more, r, g = contrast(x[inner], o.size + own[i][inner] - o.heads, 1)
-                        gp[inner] += more
-                        rows, grads = np.concatenate([rows, r]), np.concatenate([grads, g])
+                        more, r, g = contrast(x.take(inner, axis=0), o.size + own[i][inner] - o.heads, 1)
+                        more += gp.take(inner, axis=0)
+                        gp[inner] = more
+                        rows, grads = rows + r, grads + g
                     gp[:, -1] = 0
                     g2 = gp * v[1]
-                    of_both = np.concatenate([np.zeros_like(gp[:1]), gp * v[0]])
+                    of_both = np.zeros_like(both)
+                    np.multiply(gp, v[0], out=of_both[1:])
                     of_both[1 + fresh] += g2[fresh]
                     g2[fresh] = 0
                     of_both[:-1] += g2
-                    at, total, times = _sums(np.concatenate([[0, 1], places, self.first_output + rows]), np.concatenate([[(gp * r1).sum(axis=0), (gp * r2).sum(axis=0)], of_both, grads]))
-                    power[at] += (total * total).mean(axis=1)
-                    v[at] -= (rate / np.sqrt(power[at]))[:, None] * total
+                    of_scales = np.stack([np.einsum("ij,ij->j", gp, r) for r in (r1, r2)])
+                    at, total, times = _sums(np.concatenate([[0, 1], places, *rows]), np.concatenate([of_scales, of_both, *grads]))
+                    so_far = power[at] + np.einsum("ij,ij->i", total, total) / np.float32(total.shape[1])
+                    power[at] = so_far
+                    total *= (-rate / np.sqrt(so_far))[:, None]
+                    total += v.take(at, axis=0)
+                    v[at] = total
                     hits[at] += times
         return hits
 
@@ -342,18 +399,28 @@ class Model:
         once for each distinct word before, and the sum is a product of two rows."""
         v, out = self.values, np.empty(len(one), np.float32)
         outputs = v[self.first_output : self.first_word]
+        across = np.ascontiguousarray(outputs.T)
         rows, most, at = [], [], []
-        for scale, words, bias in ((v[0], one, 0.0), (v[1], two, outputs[:, -1])):
+        few = max(16, AT_ONCE // len(outputs))
+        for scale, words, bias in ((v[0], one, 0.0), (v[1], two, 1.0)):
             used = np.zeros(self.first_output - 2, bool)
             used[words] = True
-            s = (scale * v[2 + np.flatnonzero(used)])[:, :-1] @ outputs[:, :-1].T + bias
-            most.append(s.max(axis=1))
-            s -= most[-1][:, None]
-            rows.append(np.exp(s, out=s))
+            of_used = 2 + np.flatnonzero(used)
+            s, high = np.empty((len(of_used), len(outputs)), np.float32), np.empty(len(of_used), np.float32)
+            for lo in range(0, len(of_used), few):
+                x, part = v.take(of_used[lo : lo + few], axis=0), s[lo : lo + few]
+                x *= scale
+                x[:, -1] = bias
+                np.matmul(x, across, out=part)
+                high[lo : lo + few] = part.max(axis=1)
+                part -= high[lo : lo + few, None]
+                np.exp(part, out=part)
+            rows.append(s)
+            most.append(high)
             at.append((np.cumsum(used) - 1)[words])
-        for lo in range(0, len(one), 1024):
-            i, j = at[0][lo : lo + 1024], at[1][lo : lo + 1024]
-            out[lo : lo + 1024] = np.einsum("ij,ij->i", rows[0][i], rows[1][j])
+        for lo in range(0, len(one), few):
+            i, j = at[0][lo : lo + few], at[1][lo : lo + few]
+            out[lo : lo + few] = np.einsum("ij,ij->i", rows[0].take(i, axis=0), rows[1].take(j, axis=0))
         low = np.flatnonzero(out < 1e-25)  # what one favours, the other all but rules out
         out = np.log(np.maximum(out, 1e-37)) + most[0][at[0]] + most[1][at[1]]
         if len(low):
@@ -367,19 +434,24 @@ class Model:
         o, v = self.outputs, self.values
         top, x = o.of(own), self.predicted(two, one)
         outputs = v[self.first_output : self.first_word]
-        out = (np.einsum("ij,ij->i", x, outputs[top]) - self.top_sums(two, one)) / np.log(10)
+        out = -self.top_sums(two, one)
+        for lo in range(0, len(own), BATCH):
+            out[lo : lo + BATCH] += np.einsum("ij,ij->i", x[lo : lo + BATCH], outputs.take(top[lo : lo + BATCH], axis=0))
+        out = out / np.log(10)
 
-        norms, words = (x * x).sum(axis=1), v[self.first_word :]
-        own_norms = (words * words).sum(axis=1)
+        words = v[self.first_word :]
+        norms, own_norms = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", words, words)
         inner = np.flatnonzero((own >= o.heads) & (own < len(o.vocabulary)))
-        inner = inner[np.argsort(top[inner], kind="stable")]
+        # numbers of 16 bits are sorted by digits
+        inner = inner[np.argsort(top[inner].astype(np.uint16 if o.size < 1 << 16 else np.int64), kind="stable")]
         cuts = np.searchsorted(top[inner], o.heads + np.arange(o.classes + 1))
         for c in np.flatnonzero(np.diff(cuts)):
             begin, end = o.edges[c], o.edges[c + 1]
             vectors, high = words[begin:end], float(own_norms[begin:end].max())
-            for lo in range(cuts[c], cuts[c + 1], 1024):
-                i = inner[lo : min(lo + 1024, cuts[c + 1])]
-                s = x[i] @ vectors.T
+            few = max(16, AT_ONCE // (end - begin))
+            for lo in range(cuts[c], cuts[c + 1], few):
+                i = inner[lo : min(lo + few, cuts[c + 1])]
+                s = x.take(i, axis=0) @ vectors.T
                 if float(norms[i].max()) * high > 60.0**2:  # else exp stays in range
                     s -= s.max(axis=1, keepdims=True)
                 mine = s[np.arange(len(i)), own[i] - o.heads - begin].astype(np.float64)

@@ -494,3 +494,77 @@ def test_log_probabilities_are_normalised():
     k = 6
     table = lm.train(np.arange(k**3), rng.integers(1, 50, k**3).astype(float), k, steps=50)
     assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def plain_log10(m, two, one, own):
+    """In double precision, from the formula."""
+    o, v = m.outputs, m.values.astype(float)
+    x = np.append(v[0, :-1] * v[2 + one, :-1] + v[1, :-1] * v[2 + two, :-1], 1.0)
+    top = v[m.first_output : m.first_word] @ x
+    t = int(o.of(np.array([own]))[0])
+    out = top[t] - np.log(np.exp(top).sum())
+    if o.heads <= own < len(o.vocabulary):
+        begin, end = o.edges[t - o.heads], o.edges[t - o.heads + 1]
+        s = v[m.first_word + begin : m.first_word + end] @ x
+        out += s[own - o.heads - begin] - np.log(np.exp(s).sum())
+    return out / np.log(10)
+
+
+def test_log_probabilities_are_those_of_the_formula_however_many_at_a_time(monkeypatch):
+    monkeypatch.setattr(lm, "AT_ONCE", 64)
+    monkeypatch.setattr(lm, "BATCH", 32)
+    rng = np.random.default_rng(5)
+    outputs = lm.Outputs(np.arange(1, 201, dtype=np.uint64), 10, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    m = lm.Model(outputs, rng.normal(0, 0.7, (2 + 200 + lm.TAIL + outputs.size + 190, lm.DIM + 1)).astype(np.float32), np.ones(outputs.size + 190))
+    two, one, own = rng.integers(0, 200 + lm.TAIL, (3, 700))
+    assert np.allclose(m.log10(two, one, own), [plain_log10(m, *x) for x in zip(two, one, own, strict=True)], atol=1e-4)
+    assert outputs.of(np.arange(10)).tolist() == list(range(10))
+    assert all(outputs.edges[t - 10] <= place - 10 < outputs.edges[t - 9] for place, t in zip(range(10, 200), outputs.of(np.arange(10, 200)), strict=True))
+
+
+def cpu(f, times=7):
+    """Least CPU seconds of some calls."""
+    took = []
+    for _ in range(times):
+        began = time.thread_time()
+        f()
+        took.append(time.thread_time() - began)
+    return min(took)
+
+
+def test_tokens_are_the_same_where_words_are_and_cost_less_than_polynomials():
+    letters = "abcdefgh" * 80
+    kinds = [letters[:n] for n in range(1, 600)] + [letters[: n - 1] + "z" for n in range(1, 600)] + [letters[1:n] for n in range(9, 600)]
+    kinds += ["a" + "\0" * n for n in range(1, 20)] + ["\0" * n for n in range(1, 20)] + ["é", "É", " ", "ﬀ"]
+    rng = np.random.default_rng(2)
+    some = [kinds[i] for i in rng.integers(0, len(kinds), 4000)]
+    texts = [" ".join(some[i : i + 50]).upper() if i % 100 else "\n".join(some[i : i + 50]) for i in range(0, len(some), 50)] + ["", " ", "a"]
+    tokens, sizes = lm._tokens(pa.array(texts))
+    low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    plain = [[*WORD.findall(t.translate(low)), "\n"] for t in texts]
+    assert sizes.tolist() == [len(ws) for ws in plain]
+    of = {}
+    for w, h in zip((w for ws in plain for w in ws), tokens.tolist(), strict=True):
+        assert of.setdefault(w, h) == h and (w == "\n" or h % lm.TAIL == w.encode()[-1] % lm.TAIL)
+    assert len(set(of.values())) == len(of)
+
+    english = pa.array([" ".join(f"{letters[i % 5 : i % 5 + n]}{i}" for i, n in enumerate(rng.integers(1, 8, 20_000).tolist()))])
+    assert cpu(lambda: lm._tokens(english)) < 0.8 * cpu(lambda: words.hashes(english))
+
+
+def test_sums_of_rows_cost_less_than_reducing_each():
+    rng = np.random.default_rng(6)
+    rows = np.concatenate([rng.integers(0, 40, 2000), 100 + (rng.pareto(0.6, 3500) * 30).astype(np.int64) % 80_000])
+    values = rng.normal(size=(len(rows), lm.DIM + 1)).astype(np.float32)
+    at, total, times = lm._sums(rows, values)
+    right = np.zeros((rows.max() + 1, lm.DIM + 1))
+    np.add.at(right, rows, values)
+    assert (at == np.unique(rows)).all() and (times == np.unique(rows, return_counts=True)[1]).all() and np.allclose(total, right[at], atol=1e-3)
+
+    def reduced():
+        order = np.argsort(rows)
+        r = rows[order]
+        return np.add.reduceat(values[order], np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), axis=0)
+
+    assert cpu(lambda: lm._sums(rows, values), 30) < 0.8 * cpu(reduced, 30)
+    assert all(len(x) == 1 for x in lm._sums(np.array([7]), np.ones((1, 3), np.float32)))
