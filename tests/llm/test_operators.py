@@ -568,3 +568,20 @@ def test_sums_of_rows_cost_less_than_reducing_each():
 
     assert cpu(lambda: lm._sums(rows, values), 30) < 0.8 * cpu(reduced, 30)
     assert all(len(x) == 1 for x in lm._sums(np.array([7]), np.ones((1, 3), np.float32)))
+
+
+def test_texts_of_the_pilot_are_those_of_the_least_hashes_and_no_others_are_sent(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PILOT", 10)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(doc_id):
+        seen.add(1)
+        return f"text {doc_id}"
+
+    ids = spark.range(0, 400, 1, 8).withColumn("doc_id", F.when(F.col("id") % 50 != 0, F.floor(F.col("id") / 2))).select("doc_id")
+    got = [r["text"] for r in lm.pilot_texts(ids.withColumn("text", text("doc_id"))).collect()]
+    right = ids.select("doc_id", F.xxhash64("doc_id").alias("at")).orderBy("at").limit(10).collect()
+    assert sorted(got) == sorted(f"text {r['doc_id']}" for r in right)
+    assert seen.value <= 20
+    assert lm.pilot_texts(ids.filter("doc_id is null").withColumn("text", text("doc_id"))).count() == 8
